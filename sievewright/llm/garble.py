@@ -26,7 +26,7 @@ from sievewright.llm.langdata import labelled_sentences
 #: Bytes of one language's dictionary.
 DICTIONARY_BYTES = 64 << 10
 #: Bytes that a character outside a language's letters costs on top.
-ESCAPE = 3
+ESCAPE = 2
 #: Tokens that a worker remembers.
 REMEMBERED = 300_000
 
@@ -47,9 +47,16 @@ STEPS = (
 )
 # Signs that clean text may hold beside letters.
 SIGNS = set("€£¥§°№·•…–—‘’‚“”„«»‹›¡¿½¼¾²³¹µ×±©®™º ­  ⁠​‌‍﻿‑−→←✓☐■□▪▸")
+# Letters beyond ASCII of the eight languages; those that names in the sample carry are learned on top.
+ALPHABETS = {"de": "äöüß", "en": "", "fr": "àâæçéèêëîïôœùûüÿ", "es": "áéíñóúü", "it": "àèéìíîòóùú", "nl": "áéèëïóöü", "pl": "ąćęłńóśźż", "ru": "абвгдеёжзийклмнопрстуфхцчшщъыьэюя"}
+# Signs that a lone garbled letter may have been.
+LONE_SIGNS = "–—’‘“”„€…"
 TOKEN = re.compile(r"[A-Za-z']*[^\x00-\x7f][A-Za-z'\x80-\U0010ffff]*")
 #: Beyond doubt: the replacement character, and C1 controls, which no encoding in use has for text.
 CERTAIN = re.compile("[�\x80-\x84\x86-\x9f]")
+_LOST_HYPHEN, _LOST_SPACE = re.compile("Ã(?=[a-z])"), re.compile("[ÃÂ]$")
+_SIGNS, _JOINING = "".join(SIGNS), "’‘·­⁠​‌‍﻿‑"
+_ODD, _CAPITAL = re.compile(r"[^\x00-\x7f]"), re.compile(r"(?<=[a-zà-ÿ])[À-Þ]")
 _PARAGRAPH = re.compile(r"(\n[ \t\r]*\n)")
 
 
@@ -78,11 +85,12 @@ class Model:
 
     dictionaries: dict[str, bytes]
     letters: dict[str, set[str]]
+    words: set[str]
 
 
 def fit(sentences: dict[str, list[str]], dictionary_bytes: int = DICTIONARY_BYTES) -> Model:
     """Train a dictionary per language, and list the letters that its sentences use (in either case)."""
-    dictionaries, letters = {}, {}
+    dictionaries, letters, tokens = {}, {}, Counter()
     for lang, own in sentences.items():
         samples = [s.encode() for s in own]
         try:
@@ -91,10 +99,10 @@ def fit(sentences: dict[str, list[str]], dictionary_bytes: int = DICTIONARY_BYTE
             dictionaries[lang] = b" ".join(samples)[-dictionary_bytes:]
         seen = Counter(ch for s in own for ch in set(s) if ord(ch) > 127 and ch.isalpha())
         # a letter of one stray word is no letter of the language
-        letters[lang] = {x for ch, n in seen.items() if n >= max(3, len(own) // 400) for x in (ch, *(c for c in (ch.upper(), ch.lower()) if len(c) == 1))}
-        if any("а" <= ch <= "я" for ch in letters[lang]):
-            letters[lang] |= set("абвгдеёжзийклмнопрстуфхцчшщъыьэюя" + "абвгдеёжзийклмнопрстуфхцчшщъыьэюя".upper())
-    return Model(dictionaries, letters)
+        plain = [ch for ch, n in seen.items() if n >= max(3, len(own) // 400)] + list(ALPHABETS.get(lang, ""))
+        letters[lang] = {x for ch in plain for x in (ch, *(c for c in (ch.upper(), ch.lower()) if len(c) == 1))}
+        tokens.update(t for s in own for t in set(TOKEN.findall(s)))
+    return Model(dictionaries, letters, {t for t, n in tokens.items() if n >= 3})
 
 
 class Mender:
@@ -110,6 +118,8 @@ class Mender:
             self.compress[lang] = zstandard.ZstdCompressor(dict_data=z, write_content_size=False, write_dict_id=False, write_checksum=False).compress
         self.steps = [Step(right, wrong, cost) for right, wrongs, cost in STEPS for wrong in wrongs.split()]
         self.codecs = {name: _codec(name) for right, wrongs, _ in STEPS for name in (right, *wrongs.split()) if name != "utf-8"}
+        self.words = model.words
+        self.moved: dict[tuple[str, int], str] = {}
         self.any_letter = set().union(*self.letters.values()) if self.letters else set()
         self.memory: dict[str, dict[int, str]] = {}
 
@@ -118,7 +128,7 @@ class Mender:
         odd = [ch for ch in token if ord(ch) > 127]
         if any(ch not in self.any_letter and ch not in SIGNS for ch in odd):
             return False
-        body = token.strip("".join(SIGNS))
+        body = token.strip(_SIGNS)
         inner = [ch for ch in body if ord(ch) > 127]
         if any(ch in SIGNS and ch not in "’‘·– ­ ⁠​‌‍﻿‑" for ch in inner):
             return False
@@ -147,68 +157,101 @@ class Mender:
             good, bad = sum(ord(ch) > 127 for ch in out) - out.count("�"), out.count("�")
             return out if good > bad else None
 
+    def _was(self, step: Step, token: str) -> str | None:
+        """:meth:`undo`, also where a no-break space or soft hyphen, the second byte of à and í, has been lost."""
+        was = self.undo(step, token)
+        if was is None and step.right == "utf-8" and step.wrong in ("cp1252", "latin-1"):
+            for whole in (_LOST_HYPHEN.sub("\\g<0>\xad", token), _LOST_SPACE.sub("\\g<0>\xa0", token)):
+                if whole != token and (was := self.undo(step, whole)) is not None:
+                    break
+        return was
+
+    def _plausible(self, step: Step, token: str, was: str) -> bool:
+        """If a step that can't be verified by itself gave something that the token may well have been."""
+        if not self.orderly(was):
+            return False
+        letters = [ch for ch in was if ord(ch) > 127 and ch.isalpha()]
+        if not letters:
+            # a sign: the token is a lone letter, or has a capital within
+            return any(ch in LONE_SIGNS for ch in was) and not any("Ѐ" <= ch <= "ӿ" for ch in token) and (len(token) == 1 or not self.orderly(token))
+        if any("а" <= ch.lower() <= "ё" for ch in letters):
+            # short words give no evidence for another script; words that read as Cyrillic already are clean unless their capitals are odd
+            already = "а" <= token[0].lower() <= "ё"
+            if already and (self.orderly(token) and not token.isupper() or was.isupper() and not token.isupper()):
+                return False
+            return sum(map(str.isalpha, was)) > (3 if already else 2)
+        return len(token) > 1 or not self.orderly(token)
+
     def candidates(self, token: str) -> dict[int, str]:
         """Step number -> what the token was, for steps that give something orderly, or again something a step can undo."""
         got = self.memory.get(token)
         if got is None:
             got = {}
-            for i, s in enumerate(self.steps):
-                was = self.undo(s, token)
-                if was is None and s.right == "utf-8" and token[-1] in "ÃÂÐ":
-                    was = self.undo(s, token + " ")
+            for i, s in enumerate(self.steps) if token not in self.words else ():
+                was = self._was(s, token)
                 if was is None or was == token:
                     continue
                 if s.right == "utf-8":
-                    if not CERTAIN.search(was) or self.undo(s, was) not in (None, was):
-                        got[i] = was
-                elif self.orderly(was) and any(ch.isalpha() and ord(ch) > 127 for ch in was) and (not self.orderly(token) or len(token) > 1):
-                    # short words give no evidence for another script
-                    if not ("а" <= max(was.lower()) <= "ё" and sum(map(str.isalpha, was)) < 3):
+                    if all(ch in self.any_letter or ch in SIGNS or ord(ch) < 128 for ch in was) or any(self.undo(t, was) not in (None, was) for t in self.steps if t.right == "utf-8"):
                         got[i] = was
+                elif self._plausible(s, token, was):
+                    got[i] = was
             if len(self.memory) > REMEMBERED:
                 self.memory.clear()
+                self.moved.clear()
             self.memory[token] = got
         return got
 
-    def length(self, text: str) -> int:
-        """Description length in bytes: the best language's compressed size with its escapes."""
-        raw = text.encode("utf-8", "surrogatepass")
-        odd = Counter(ch for ch in text if ord(ch) > 127)
-        best = None
-        signs = Counter()
+    def _escapes(self, text: str) -> dict[str, int]:
+        """Per language, how many characters it must escape: unknown letters, and signs or capitals within words."""
+        odd = Counter(_ODD.findall(text))
+        inner = 0
         for t in TOKEN.findall(text):
-            # a sign between letters is as foreign as an unknown letter
-            body = t.strip("".join(SIGNS))
-            signs.update(ch for ch in body if ch in SIGNS and ch not in "’‘· ­ ⁠​‌‍﻿‑")
-        for lang, own in self.letters.items():
-            escapes = sum(n for ch, n in odd.items() if ch not in own and ch not in SIGNS) + sum(signs.values())
-            n = len(self.compress[lang](raw)) + ESCAPE * escapes
-            best = n if best is None else min(best, n)
-        return len(raw) if best is None else best
+            body = t.strip(_SIGNS)
+            inner += sum(ch in SIGNS and ch not in _JOINING for ch in body) + sum(map(len, _CAPITAL.findall(body)))
+        return {lang: 2 * inner + sum(n for ch, n in odd.items() if ch not in own and ch not in SIGNS) for lang, own in self.letters.items()}
+
+    def length(self, text: str, only: set[str] | None = None) -> tuple[int, list[str]]:
+        """(description length in bytes under the best language, languages from best to worst); ``only`` limits those tried."""
+        raw = text.encode("utf-8", "surrogatepass")
+        esc = self._escapes(text)
+        if not esc:
+            return len(raw), []
+        least = min(esc.values())
+        tried = [x for x, n in esc.items() if n <= least + 2 and (only is None or x in only or n == least < 1)]
+        got = sorted((len(self.compress[x](raw)) + ESCAPE * esc[x], x) for x in tried or esc)
+        return got[0][0], [x for _, x in got]
 
     def mend_passage(self, text: str) -> tuple[str, list[str]]:
         """(text, names of the steps undone) of one passage; unchanged without steps if no chain describes it in fewer bytes."""
         done: list[str] = []
         for _ in range(3):
-            tokens = set(TOKEN.findall(text))
             votes: Counter[int] = Counter()
-            for t in tokens:
+            for t in set(TOKEN.findall(text)):
                 for i in self.candidates(t):
                     votes[i] += len(t)
             if not votes:
                 break
-            before = self.length(text)
-            best, after, taken = before, None, None
+            best, languages = self.length(text)
+            only = set(languages[:3]) | {"ru", "pl"}
+            after, taken = None, None
             tried: dict[str, int] = {}
-            for i, _n in votes.most_common(6):
+            # the most supported steps; equal results are described once
+            for i, n in votes.most_common():
+                if n * 2 < votes.most_common(1)[0][1] and len(tried) > 2 or len(tried) > 8:
+                    break
                 step = self.steps[i]
                 new = TOKEN.sub(lambda m, i=i: self._mended(m.group(), i), text)
-                if new == text:
+                if new == text or new in tried:
                     continue
-                n = tried.get(new) or self.length(new)
-                tried[new] = n
-                if n + step.cost < best:
-                    best, after, taken = n + step.cost, new, step
+                tried[new] = size = self.length(new, only)[0]
+                cost = step.cost
+                if step.right != "utf-8":
+                    # a letter for a letter: the old text reads as words as well, so each kind of exchange must earn its keep
+                    swaps = {(a, b) for a, b in zip(text, new) if a != b}
+                    cost += 3 * sum(a.lower() != a.upper() and b.isalpha() and a.isupper() == b.isupper() and not "а" <= b.lower() <= "ё" for a, b in swaps)
+                if size + cost < best:
+                    best, after, taken = size + cost, new, step
             if after is None:
                 break
             text = after
@@ -216,15 +259,17 @@ class Mender:
         return text, done
 
     def _mended(self, token: str, i: int) -> str:
-        got = self.candidates(token)
-        if i in got:
-            return got[i]
-        step = self.steps[i]
-        # the chain holds for its whole passage: tokens too short to speak for it follow, broken ones as far as they go
-        was = self.undo(step, token, strict=False)
-        if was is None or step.right != "utf-8" and not self.orderly(was):
-            return token
-        return was
+        got = self.moved.get((token, i))
+        if got is None:
+            step = self.steps[i]
+            got = self.candidates(token).get(i)
+            if got is None and token not in self.words:
+                # the chain holds for its whole passage: tokens too short to speak for it follow, broken ones as far as they go
+                got = self.undo(step, token, strict=False)
+                if got is not None and step.right != "utf-8" and not self.orderly(got):
+                    got = None
+            got = self.moved[token, i] = token if got is None else got
+        return got
 
     def mend(self, text: str) -> tuple[str, str | None]:
         """(restored text, chain or None if nothing was garbled). Passages that can't be restored count with the chain ``lost``."""

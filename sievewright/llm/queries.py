@@ -5,19 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import leakage, spans, uniform
+from sievewright.llm import garble, leakage, packing, spans, uniform
 
 
 def _table(spark: SparkSession, at: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{at}/{name}.parquet")
 
 
-# Problem 3 ------------------------------------------------------------------------------------------------
-
-# only a text with a character beyond ASCII can be out of form
+# ASCII alone is neither garbled nor out of form
 _BEYOND_ASCII = "octet_length(text) <> length(text)"
 
 
+# Problem 1 ------------------------------------------------------------------------------------------------
+
+
+def _garbled(spark: SparkSession, at: str) -> DataFrame:
+    """(msg_id, field_name, text, restored, chain) of every garbled field; a message listed twice may be there twice."""
+    model = garble.fit_on(_table(spark, at, "documents"))
+    parsed, summary = _table(spark, at, "mail_parsed"), _table(spark, at, "mail_summary")
+    field = lambda df, name, column: df.select("msg_id", F.lit(name).alias("field_name"), F.col(column).alias("text"))
+    fields = field(parsed, "text_body", "text_body").unionByName(field(parsed, "subject", "subject")).unionByName(field(summary, "message_from", "message_from"))
+    return garble.restore(fields.filter(_BEYOND_ASCII), "text", model).filter("chain IS NOT NULL")
+
+
+def p1_found(spark: SparkSession, at: str) -> DataFrame:
+    """Fields that contain text garbled by a wrong encoding."""
+    return _garbled(spark, at).select("msg_id", "field_name").distinct()
+
+
+def p1_restored(spark: SparkSession, at: str) -> DataFrame:
+    """Garbled fields with the chain undone, whether all of it came back, and a hash of the restored text."""
+    g = _garbled(spark, at)
+    return g.select("msg_id", "field_name", "chain", (~F.contains("chain", F.lit("lost"))).alias("whole"), F.sha2("restored", 256).alias("sha256")).dropDuplicates(["msg_id", "field_name"])
+
+
+def p1_chains(spark: SparkSession, at: str) -> DataFrame:
+    """How many fields each chain garbled."""
+    return p1_restored(spark, at).groupBy("field_name", "chain").agg(F.count("*").alias("n"))
+
+
+# Problem 3 ------------------------------------------------------------------------------------------------
+
 def _bodies(spark: SparkSession, at: str) -> DataFrame:
     return _table(spark, at, "mail_parsed").select(F.lit("parsed.text_body").alias("field_name"), F.col("msg_id").cast("string").alias("record_key"), F.col("text_body").alias("text"))
 
@@ -58,6 +86,25 @@ def p3_bodies(spark: SparkSession, at: str) -> DataFrame:
     return b.select(F.col("record_key").cast("bigint").alias("msg_id"), F.length("text").cast("bigint").alias("n_before"), F.length("consistent").cast("bigint").alias("n_after"), F.sha2("consistent", 256).alias("sha256")).distinct()
 
 
+# Problem 7 ------------------------------------------------------------------------------------------------
+
+
+def p7_assignment(spark: SparkSession, at: str) -> DataFrame:
+    """The place of every text in containers of every capacity."""
+    return packing.pack(_table(spark, at, "documents"), _table(spark, at, "container_spec"))
+
+
+def p7_fill(spark: SparkSession, at: str) -> DataFrame:
+    """Containers used per capacity and how full they are."""
+    return packing.fill(p7_assignment(spark, at), _table(spark, at, "container_spec"))
+
+
+def p7_steps(spark: SparkSession, at: str) -> DataFrame:
+    """Tokens and containers of every step group."""
+    a = p7_assignment(spark, at).filter("step IS NOT NULL")
+    return a.groupBy("container_id", "tier", "step").agg(F.countDistinct("container_no").alias("n_containers"), F.sum("n_tokens").alias("tokens"))
+
+
 # Problem 8 ------------------------------------------------------------------------------------------------
 
 
@@ -102,5 +149,5 @@ def p9_shares(spark: SparkSession, at: str) -> DataFrame:
     return spans.shared_shares(docs, spans.shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_keys, p3_subjects, p3_bodies, p8_found, p8_passages, p8_items, p8_clean, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p1_chains, p3_found, p3_keys, p3_subjects, p3_bodies, p7_assignment, p7_fill, p7_steps, p8_found, p8_passages, p8_items, p8_clean, p9_found, p9_shares)}
 SQL: dict[str, str] = {}
