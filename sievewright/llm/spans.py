@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from sievewright.staging import written
 FEW = 48
 #: Sketch: cells per row are a power of two near four per anchor, within these bounds; two bits a cell, two rows.
 LEAST_BITS, MOST_BITS = 16, 27
+#: Texts on which the dictionary that packs contexts is trained; it only saves shuffled bytes.
+SAMPLE_TEXTS = 400
 #: Bytes of a block of the sketch, the unit in which partitions' sketches are merged.
 PIECE = 1 << 16
 
@@ -194,6 +197,33 @@ def merged_sketch(hashes: DataFrame, bits: int) -> bytes:
     return out.tobytes()
 
 
+def _dictionary(docs: DataFrame) -> bytes:
+    """A zstandard dictionary from a bounded sample; empty if there is too little to train on."""
+    texts = [r["text"][:20_000].encode("utf-8", "surrogatepass") for r in docs.filter("text IS NOT NULL AND text <> ''").limit(SAMPLE_TEXTS).collect()]
+    try:
+        return zstandard.train_dictionary(64 << 10, [t[i : i + 400] for t in texts for i in range(0, len(t), 400)]).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def _packer(dictionary: bytes) -> zstandard.ZstdCompressor:
+    z = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    if z:
+        z.precompute_compress(level=3)
+    return zstandard.ZstdCompressor(level=3, dict_data=z, write_checksum=False, write_dict_id=False) if z else zstandard.ZstdCompressor(level=3)
+
+
+def _unpacker(dictionary: bytes):  # noqa: ANN202
+    """Gives (left context from the anchor outwards, right context)."""
+    d = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdDecompressor()
+
+    def unpack(packed: bytes, n_left: int) -> tuple[str, str]:
+        text = d.decompress(packed).decode("utf-8", "surrogatepass")
+        return text[:n_left][::-1], text[n_left:]
+
+    return unpack
+
+
 def _common(a: str, b: str) -> int:
     """Length of the common beginning."""
     n = min(len(a), len(b))
@@ -247,9 +277,11 @@ def shared_spans(documents: DataFrame, least: int = 300, doc_id: str = "doc_id",
     found = written(docs.mapInArrow(hashed, "h bigint"), "anchors")
     bits = min(MOST_BITS, max(LEAST_BITS, int(found.count() * 4).bit_length()))
     sketch = docs.sparkSession.sparkContext.broadcast(merged_sketch(found, bits))
+    dictionary = _dictionary(docs)
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Sketch.unpacked(bits, np.frombuffer(sketch.value, np.uint8))
+        pack = _packer(dictionary).compress
         for ids, points, starts in _texts(batches):
             at, h = anchors(points, starts, least)
             at = at[s.repeated(h)]
@@ -257,43 +289,50 @@ def shared_spans(documents: DataFrame, least: int = 300, doc_id: str = "doc_id",
             a, z = np.maximum(at - reach, starts[row]), np.minimum(at + k + reach, starts[row + 1])
             raw = points.astype("<u4").tobytes()
             cut = lambda i, j: raw[4 * i : 4 * j].decode("utf-32-le", "surrogatepass")
-            left = [cut(i, j)[::-1] for i, j in zip(a.tolist(), at.tolist())]
-            right = [cut(i + k, j) for i, j in zip(at.tolist(), z.tolist())]
+            left = (at - a).astype(np.int32)
+            around_text = [pack((cut(i, p) + cut(p + k, j)).encode("utf-8", "surrogatepass")) for i, p, j in zip(a.tolist(), at.tolist(), z.tolist())]
             group = [xxhash.xxh3_128_digest(raw[4 * i : 4 * (i + k)]) for i in at.tolist()]
             around = [xxhash.xxh3_64_intdigest(raw[4 * i : 4 * j]) - (1 << 63) ^ (p - i) for i, j, p in zip(a.tolist(), z.tolist(), at.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(group, pa.binary()), pa.array(around, pa.int64()), pa.array(ids[row]), pa.array((at - starts[row]).astype(np.int32)), pa.array(left, pa.string()), pa.array(right, pa.string())],
-                names=["grp", "ctx", "doc_id", "pos", "left", "right"],
+                [pa.array(group, pa.binary()), pa.array(around, pa.int64()), pa.array(ids[row]), pa.array((at - starts[row]).astype(np.int32)), pa.array(left), pa.array(around_text, pa.binary())],
+                names=["grp", "ctx", "doc_id", "pos", "n_left", "around"],
             )
 
-    windows = written(docs.mapInArrow(repeated, "grp binary, ctx bigint, doc_id bigint, pos int, left string, right string"), "windows")
-    classes = windows.groupBy("grp", "ctx").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("left").alias("left"), F.first("right").alias("right"))
-    counted = classes.groupBy("grp").agg(F.count("*").alias("n"), F.min("low").alias("lowest"), F.max("high").alias("highest")).filter("lowest <> highest")
+    windows = written(docs.mapInArrow(repeated, "grp binary, ctx bigint, doc_id bigint, pos int, n_left int, around binary"), "windows")
+    classes = windows.groupBy("grp", "ctx").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("n_left").alias("n_left"), F.first("around").alias("around"))
+    # counted without the contexts, which then move only for groups that more than one record is in
+    narrow = windows.groupBy("grp", "ctx").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    counted = narrow.groupBy("grp").agg(F.count("*").alias("n"), F.min("low").alias("lowest"), F.max("high").alias("highest")).filter("lowest <> highest")
     classes = written(classes.join(counted.select("grp", "n"), "grp"), "classes")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = _unpacker(dictionary)
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [])
             for grp, members in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for c in members:
+                    c["left"], c["right"] = unpack(c["around"], c["n_left"])
                 for c, e in zip(members, _extents(members, least, k)):
                     if e:
                         for col, v in zip(out, (grp, c["ctx"], *e)):
                             col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], names=["grp", "ctx", "l", "r"])
 
-    few = classes.filter(F.col("n") <= FEW).groupBy("grp").agg(F.collect_list(F.struct("ctx", "low", "high", "left", "right")).alias("members")).mapInArrow(compare, "grp binary, ctx bigint, l int, r int")
-    many = _extents_of_many(classes.filter(F.col("n") > FEW), least, k)
+    few = classes.filter(F.col("n") <= FEW).groupBy("grp").agg(F.collect_list(F.struct("ctx", "low", "high", "n_left", "around")).alias("members")).mapInArrow(compare, "grp binary, ctx bigint, l int, r int")
+    many = _extents_of_many(classes.filter(F.col("n") > FEW), least, k, dictionary)
     extents = few.unionByName(many)
     hits = windows.select("grp", "ctx", "doc_id", "pos").join(extents, ["grp", "ctx"]).select("doc_id", (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + k + F.col("r")).alias("e"))
     return _runs(hits)
 
 
-def _extents_of_many(classes: DataFrame, least: int, k: int) -> DataFrame:
+def _extents_of_many(classes: DataFrame, least: int, k: int, dictionary: bytes) -> DataFrame:
     """The same as :func:`_extents` for groups of many classes: hash every stretch around the anchor, group, join back."""
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = _unpacker(dictionary)
         for b in batches:
-            for grp, ctx, low, high, left, right in zip(*(b.column(i).to_pylist() for i in range(6))):
+            for grp, ctx, low, high, n_left, around in zip(*(b.column(i).to_pylist() for i in range(6))):
+                left, right = unpack(around, n_left)
                 body = left[::-1] + "\x00" * k + right
                 n = len(body) - least + 1
                 if n < 1:
@@ -309,7 +348,7 @@ def _extents_of_many(classes: DataFrame, least: int, k: int) -> DataFrame:
                     names=["grp", "ctx", "low", "high", "a", "h1", "h2"],
                 )
 
-    every = classes.select("grp", "ctx", "low", "high", "left", "right").mapInArrow(stretches, "grp binary, ctx bigint, low bigint, high bigint, a int, h1 bigint, h2 bigint")
+    every = classes.select("grp", "ctx", "low", "high", "n_left", "around").mapInArrow(stretches, "grp binary, ctx bigint, low bigint, high bigint, a int, h1 bigint, h2 bigint")
     key = ["grp", "a", "h1", "h2"]
     shared = every.groupBy(*key).agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select(*key)
     return every.join(shared, key, "left_semi").groupBy("grp", "ctx").agg(F.max("a").alias("l"), (F.lit(least - k) - F.min("a")).alias("r"))
