@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import garble, leakage, packing, spans, uniform
+from sievewright.llm import garble, langdata, language, leakage, packing, spans, uniform
 
 
 def _table(spark: SparkSession, at: str, name: str) -> DataFrame:
@@ -44,6 +44,44 @@ def p1_chains(spark: SparkSession, at: str) -> DataFrame:
     return p1_restored(spark, at).groupBy("field_name", "chain").agg(F.count("*").alias("n"))
 
 
+# Problem 2 ------------------------------------------------------------------------------------------------
+
+
+def _languages(spark: SparkSession, at: str) -> DataFrame:
+    """Languages of every body; a message listed twice may be there twice."""
+    model = language.fit_on(_table(spark, at, "documents"))
+    return language.identify(_table(spark, at, "mail_parsed").filter("text_body IS NOT NULL"), model, "msg_id", "text_body", "subject")
+
+
+def _label_code(column: str) -> Column:
+    """The language that a label names, null if it says nothing; the same rule as :func:`langdata.label_code`."""
+    name = F.lower(F.trim(F.col(column)))
+    known = F.create_map(*[F.lit(x) for pair in langdata.CODE_OF.items() for x in pair])
+    return F.coalesce(known[name], known[F.split(name, "[-_@. ]")[0]])
+
+
+def p2_found(spark: SparkSession, at: str) -> DataFrame:
+    """The languages of messages whose label is missing, wrong or not the only one."""
+    model = language.fit_on(_table(spark, at, "documents"))
+    mails = _table(spark, at, "mail_parsed").select("msg_id", "content_language", "text_body", "subject").filter("text_body IS NOT NULL")
+    with_label = mails.select(F.struct("msg_id", _label_code("content_language").alias("code")).alias("k"), "text_body", "subject")
+    langs = F.array_distinct(F.transform("segments", lambda s: s["lang"]))
+    found = language.identify(with_label, model, "k", "text_body", "subject").select("k.*", langs.alias("langs"))
+    case = F.col("code").isNull() | (F.size("langs") > 1) | ~F.array_contains("langs", F.col("code"))
+    return found.filter(case).select("msg_id", F.explode("langs").alias("lang")).distinct()
+
+
+def p2_documents(spark: SparkSession, at: str) -> DataFrame:
+    """The main language of every body with its confidence."""
+    return _languages(spark, at).select("msg_id", "lang", F.round("confidence", 4).alias("confidence")).distinct()
+
+
+def p2_segments(spark: SparkSession, at: str) -> DataFrame:
+    """Every passage in one language with its confidence."""
+    s = _languages(spark, at).select("msg_id", F.explode("segments").alias("s"))
+    return s.select("msg_id", "s.segment_no", "s.lang", F.round("s.confidence", 4).alias("confidence"), "s.n_sentences", "s.n_chars").distinct()
+
+
 # Problem 3 ------------------------------------------------------------------------------------------------
 
 def _bodies(spark: SparkSession, at: str) -> DataFrame:
@@ -149,5 +187,5 @@ def p9_shares(spark: SparkSession, at: str) -> DataFrame:
     return spans.shared_shares(docs, spans.shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p1_chains, p3_found, p3_keys, p3_subjects, p3_bodies, p7_assignment, p7_fill, p7_steps, p8_found, p8_passages, p8_items, p8_clean, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p1_chains, p2_found, p2_documents, p2_segments, p3_found, p3_keys, p3_subjects, p3_bodies, p7_assignment, p7_fill, p7_steps, p8_found, p8_passages, p8_items, p8_clean, p9_found, p9_shares)}
 SQL: dict[str, str] = {}
