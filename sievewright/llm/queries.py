@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import garble, langdata, language, leakage, packing, spans, uniform
+from sievewright.llm import authored, garble, langdata, language, leakage, packing, spans, uniform
 
 
 def _table(spark: SparkSession, at: str, name: str) -> DataFrame:
@@ -124,6 +124,21 @@ def p3_bodies(spark: SparkSession, at: str) -> DataFrame:
     return b.select(F.col("record_key").cast("bigint").alias("msg_id"), F.length("text").cast("bigint").alias("n_before"), F.length("consistent").cast("bigint").alias("n_after"), F.sha2("consistent", 256).alias("sha256")).distinct()
 
 
+# Problem 6 ------------------------------------------------------------------------------------------------
+
+
+def p6_found(spark: SparkSession, at: str) -> DataFrame:
+    """Lines of bodies that their senders did not newly write."""
+    return authored.foreign_lines(_table(spark, at, "mail_parsed"))
+
+
+def p6_authored(spark: SparkSession, at: str) -> DataFrame:
+    """What each sender newly wrote: its length and a hash."""
+    mails = _table(spark, at, "mail_parsed")
+    own = authored.authored_text(mails, authored.foreign_lines(mails))
+    return own.select("msg_id", F.length("authored").cast("bigint").alias("n_chars"), F.sha2("authored", 256).alias("sha256"))
+
+
 # Problem 7 ------------------------------------------------------------------------------------------------
 
 
@@ -187,5 +202,5 @@ def p9_shares(spark: SparkSession, at: str) -> DataFrame:
     return spans.shared_shares(docs, spans.shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p1_chains, p2_found, p2_documents, p2_segments, p3_found, p3_keys, p3_subjects, p3_bodies, p7_assignment, p7_fill, p7_steps, p8_found, p8_passages, p8_items, p8_clean, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p1_chains, p2_found, p2_documents, p2_segments, p3_found, p3_keys, p3_subjects, p3_bodies, p6_found, p6_authored, p7_assignment, p7_fill, p7_steps, p8_found, p8_passages, p8_items, p8_clean, p9_found, p9_shares)}
 SQL: dict[str, str] = {}
