@@ -280,9 +280,11 @@ def foreign_lines(mails: DataFrame, key: str = "msg_id", body: str = "text_body"
     blocks = written(described_blocks(mails, key, body, sender), "blocks").dropDuplicates(["msg_id", "first_line"])
     often = blocks.filter("pattern IS NOT NULL").groupBy(F.col("pattern").alias("p")).agg(F.count("*").alias("sent")).filter("sent > 1")
     others = blocks.filter("same IS NOT NULL").groupBy(F.col("same").alias("s")).agg(F.count_distinct("msg_id").alias("n")).filter("n > 1")
-    counted = written(
-        blocks.join(often, blocks["pattern"] == often["p"], "left").join(others, F.col("same") == others["s"], "left").select("msg_id", "first_line", "last_line", "x", "label", F.coalesce("sent", F.lit(1)).alias("sent"), (F.coalesce("n", F.lit(1)) - 1).alias("others")), "counted"
-    )
+    # quoted blocks have no keys; a key of their own spreads them, and the condition keeps them from matching
+    apart = F.xxhash64("msg_id", "first_line")
+    keyed = blocks.withColumn("pk", F.coalesce("pattern", apart)).withColumn("sk", F.coalesce("same", apart))
+    joined = keyed.join(often, (F.col("pk") == F.col("p")) & F.col("pattern").isNotNull(), "left").join(others, (F.col("sk") == F.col("s")) & F.col("same").isNotNull(), "left")
+    counted = written(joined.select("msg_id", "first_line", "last_line", "x", "label", F.coalesce("sent", F.lit(1)).alias("sent"), (F.coalesce("n", F.lit(1)) - 1).alias("others")), "counted")
     trees = fit_trees(*_training(counted, sample))
     shared = spark.sparkContext.broadcast(trees)
 
