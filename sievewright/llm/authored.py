@@ -49,14 +49,14 @@ RULE = re.compile(r"^\s*[-_=*~#+.—–]{2,}\s*$")
 SEPARATOR = re.compile(r"^\s*([-_=*]{4,})\s*\S.*?\S\s*[-_=*]{4,}\s*$")
 HEADER = re.compile(r"^\s*\*?([^\W\d_][^\W\d_ ’'-]{0,14}(?: [^\W\d_]{1,10})?)\s?:\*?(?=\s|$)")
 ADDRESS = re.compile(r"[\w.+-]+@[\w-]+\.\w+")
-CONTACT = re.compile(r"[\w.+-]+@[\w-]+\.\w+|\+\d[\d /()-]{5,}|\b(?:tel|fon|phone|fax|mobil|www)\b|https?://|[|·]", re.IGNORECASE)
+CONTACT = re.compile(r"[\w.+-]+@[\w-]+\.\w+|\+\d[\d /()-]{5,}|\b(?:tel|fon|phone|fax|mobil|www)\b|https?://|[|·]")
 NAME = re.compile(r"^\s*(?:[^\W\d_]\.\s?)?[^\W\d_][\w’'-]+(?:\s+[^\W\d_][\w’'-]+)?\s*$")
 # a garbled initial or name has signs in it
 INITIAL = re.compile(r"^\s*[^\s\d.]{1,3}\.\s?[^\s\d@|,;:<>]{2,40}\s*$")
 _INVISIBLE = re.compile("[\xad\u200b-\u200f\u2060-\u2064\ufeff]")
 DATED = re.compile(r"\d{1,4}[./-]\d{1,2}[./-]\d{2,4}|\d{1,2}\.? [^\W\d_]{3,} \d{4}|[^\W\d_]{3,} \d{1,2}, \d{4}")
 SENTENCE = re.compile(r"[.!?…][\"'“”»)]*$")
-_WORD = re.compile(r"\w+")
+_WORD, _DIGIT = re.compile(r"\w+"), re.compile(r"\d")
 
 FEATURES = (
     "depth", "enclosed", "in_forward", "separator", "rule", "header_share", "introduces", "contact_density", "n_lines", "mean_length", "after_closing", "after_rule",
@@ -65,6 +65,14 @@ FEATURES = (
 )
 
 
+def _contacts(text: str) -> int:
+    """How many contact data a text has; most have none of the signs that all of them need."""
+    low = text.lower()
+    if not any(sign in low for sign in ("@", "|", "·", "+", "tel", "fon", "phone", "fax", "mobil", "www", "http")):
+        return 0
+    return len(CONTACT.findall(low))
+
+
 @dataclass
 class Block:
     """Lines from ``first`` to ``last`` (from 0) and what is known of them."""
@@ -132,7 +140,8 @@ def describe(text: str) -> tuple[list[Block], np.ndarray, list[int]]:
     forward = closing_seen = False
     n_own = 0
     flat = [" ".join(b.lines) for b in blocks]
-    contact = [len(CONTACT.findall(t)) for t in flat]
+    # marks alone tell quoted blocks; they need no look at their words
+    contact = [0 if b.depth else _contacts(t) for b, t in zip(blocks, flat)]
     quoted = [b.depth > 0 for b in blocks]
     marked = next((k for k, b in enumerate(blocks) if b.kind in ("headers", "separator")), n)
     closes = [k < marked and not (k and blocks[k - 1].kind == "rule") and _is_closing(b) for k, b in enumerate(blocks)]
@@ -151,14 +160,17 @@ def describe(text: str) -> tuple[list[Block], np.ndarray, list[int]]:
         next_forward = b.kind == "rule" and after is not None and after.kind == "headers" and tight_after
         after_rule = bool(before and before.kind == "rule" and tight_before and not forward)
         closing = not forward and not after_rule and _is_closing(b)
-        words = _WORD.findall(t)
-        letters = sum(map(str.isalpha, t)) or 1
         row = x[k]
+        if b.depth:
+            row[0], row[8], row[13], row[14] = b.depth, len(b.lines), n - 1 - k, k / n
+            labels[k] = 1
+            continue
+        words = _WORD.findall(t)
         row[:24] = (
             b.depth, enclosed, forward or next_forward, b.kind == "separator", b.kind == "rule", sum(bool(HEADER.match(y)) for y in b.lines) / len(b.lines), introduces or unmarked,
             10 * contact[k] / max(1, len(words)), len(b.lines), len(t) / len(b.lines), closing_seen, after_rule,
-            bool(SENTENCE.search(t)), n - 1 - k, k / n, sum(w[0].isupper() for w in words) / max(1, len(words)), sum(bool(NAME.match(y)) for y in b.lines) / len(b.lines), closing,
-            sum(map(str.isdigit, t)) / letters, max(map(len, b.lines)), any(quoted[:k]), any(quoted[k + 1 :]), contact[k + 1] / max(1, len(blocks[k + 1].lines)) if after else 0, not n_own,
+            bool(SENTENCE.search(t)), n - 1 - k, k / n, sum(map(str.isupper, [w[0] for w in words])) / max(1, len(words)), sum(bool(NAME.match(y)) for y in b.lines) / len(b.lines), closing,
+            len(_DIGIT.findall(t)) / max(1, len(t)), max(map(len, b.lines)), any(quoted[:k]), any(quoted[k + 1 :]), contact[k + 1] / max(1, len(blocks[k + 1].lines)) if after else 0, not n_own,
         )
         if b.depth or enclosed or introduces or unmarked or forward or next_forward or b.kind == "rule" or after_rule:
             labels[k] = 1
