@@ -570,7 +570,7 @@ def _as_xml(spark: SparkSession, at: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, at: str) -> DataFrame:
-    return _as_xml(spark, at).select("invoice_id", invoices.parse(F.col("xml")).alias("i"))
+    return invoices.with_invoice(_as_xml(spark, at), "xml", "i").drop("xml")
 
 
 _INV = "(SELECT DISTINCT ON (invoice_id) * FROM invoice)"
@@ -593,7 +593,8 @@ def invoice_party_vat(spark: SparkSession, at: str) -> DataFrame:
 FROM (SELECT invoice_id, unnest(range(0, len(xs))) AS pos, unnest(xs) AS l FROM (SELECT invoice_id, list_filter(lines, lambda x: x IS NOT NULL) AS xs FROM {_INV}))""")
 def invoice_lines(spark: SparkSession, at: str) -> DataFrame:
     """Lines of invoices with their place."""
-    return _parsed(spark, at).select("invoice_id", F.posexplode("i.lines").alias("pos", "l")).select("invoice_id", F.col("pos").cast("bigint").alias("pos"), "l.*")
+    # the outer form keeps Spark from inferring a filter on the lines, which would drag the parser below itself
+    return _parsed(spark, at).select("invoice_id", F.posexplode_outer("i.lines").alias("pos", "l")).filter("pos IS NOT NULL").select("invoice_id", F.col("pos").cast("bigint").alias("pos"), "l.*")
 
 
 @_query(f"""SELECT invoice_id, array_to_string(list_concat(['a.xml', '', coalesce(trim(invoice_number), ''), coalesce(seller.name, ''), coalesce(buyer.name, ''), coalesce(trim(buyer_reference), ''), coalesce(trim(payment_reference), '')],
@@ -608,7 +609,7 @@ def invoice_xml_reject(spark: SparkSession, at: str) -> DataFrame:
     """Roots of documents, and which are accepted; broken ones do not fail."""
     docs = F.array(*[F.lit(x) for x in ("<foo/>", "no markup", "<?xml version='1.0'?><!-- c --><Invoice><ID>1</ID></Invoice>", "<x:CreditNote xmlns:x='u'/>", "<rsm:CrossIndustryInvoice xmlns:rsm='u'><open>")])
     i = _table(spark, at, "invoice").select("invoice_id").distinct().select("invoice_id", F.element_at(docs, (F.col("invoice_id") % 5 + 1).cast("int")).alias("xml"))
-    return i.select("invoice_id", invoices.root_name(F.col("xml")).alias("root"), invoices.parse(F.col("xml")).isNotNull().alias("accepted"))
+    return invoices.with_invoice(i, "xml").select("invoice_id", invoices.root_name(F.col("xml")).alias("root"), F.col("invoice").isNotNull().alias("accepted"))
 
 
 # Messages and files -----------------------------------------------------------------------------------------
