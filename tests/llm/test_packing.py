@@ -36,11 +36,24 @@ def check(spark, sizes, specs, group=4):
     return out
 
 
+def best_fit_decreasing(sizes, capacity, sep):
+    full = sum(s // capacity for s in sizes if s > capacity)
+    free = []
+    for s in sorted((s % capacity if s > capacity else s for s in sizes), reverse=True):
+        fits = [i for i, f in enumerate(free) if f >= s + sep]
+        if fits:
+            free[min(fits, key=free.__getitem__)] -= s + sep
+        elif s:
+            free.append(capacity - s)
+    return len(free) + full
+
+
 def test_every_text_once_and_full(spark):
     rng = random.Random(4)
     sizes = [rng.choice([0, 1, 7, 30, 64, 65, 200, 513]) if rng.random() < 0.3 else rng.randrange(1, 120) for _ in range(600)]
     got = check(spark, sizes, [(1, 128, 0, "c"), (2, 256, 1, "c"), (2, 256, 1, "c"), (3, 64, 2, "c")])
-    assert got[1][0] <= got[1][1] * 1.03 and got[2][0] <= got[2][1] * 1.03
+    for cid, capacity, sep in ((1, 128, 0), (2, 256, 1), (3, 64, 2)):
+        assert got[cid][0] <= best_fit_decreasing(sizes, capacity, sep)
 
 
 def test_hot_size_in_parts(spark, monkeypatch):
