@@ -48,8 +48,8 @@ ONE_MARK = re.compile(f"{_MARK}|\ufffd")
 RULE = re.compile(r"^\s*[-_=*~#+.—–]{2,}\s*$")
 SEPARATOR = re.compile(r"^\s*([-_=*]{4,})\s*\S.*?\S\s*[-_=*]{4,}\s*$")
 HEADER = re.compile(r"^\s*\*?([^\W\d_][^\W\d_ ’'-]{0,14}(?: [^\W\d_]{1,10})?)\s?:\*?(?=\s|$)")
-ADDRESS = re.compile(r"[\w.+-]+@[\w-]+\.\w+")
-CONTACT = re.compile(r"[\w.+-]+@[\w-]+\.\w+|\+\d[\d /()-]{5,}|\b(?:tel|fon|phone|fax|mobil|www)\b|https?://|[|·]")
+ADDRESS = re.compile(r"(?<![\w.+-])[\w.+-]++@[\w-]+\.\w+")
+CONTACT = re.compile(r"(?<![\w.+-])[\w.+-]++@[\w-]+\.\w+|\+\d[\d /()-]{5,}|\b(?:tel|fon|phone|fax|mobil|www)\b|https?://|[|·]")
 NAME = re.compile(r"^\s*(?:[^\W\d_]\.\s?)?[^\W\d_][\w’'-]+(?:\s+[^\W\d_][\w’'-]+)?\s*$")
 # a garbled initial or name has signs in it
 INITIAL = re.compile(r"^\s*[^\s\d.]{1,3}\.\s?[^\s\d@|,;:<>]{2,40}\s*$")
@@ -99,7 +99,7 @@ def blocks_of(text: str) -> list[Block]:
         if not depth:
             if RULE.match(body):
                 kind = "rule"
-            elif SEPARATOR.match(body) and body[:2] != "-- ":
+            elif len(body) < 300 and SEPARATOR.match(body) and body[:2] != "-- ":
                 kind = "separator"
             elif (h := HEADER.match(body)) and (not SENTENCE.search(body) or ADDRESS.search(body)) and len(body) > h.end():
                 kind = "headers"
@@ -337,4 +337,4 @@ def authored_text(mails: DataFrame, lines: DataFrame, key: str = "msg_id", body:
     gone = lines.groupBy(F.col("msg_id").alias("k")).agg(F.collect_set("line_no").alias("gone"))
     m = mails.filter(F.col(body).isNotNull()).select(F.col(key).alias("msg_id"), F.split(F.regexp_replace(F.col(body), "\r", ""), "\n", -1).alias("all")).dropDuplicates(["msg_id"])
     kept = F.filter(F.col("all"), lambda x, i: ~F.coalesce(F.array_contains("gone", i + 1), F.lit(False)))
-    return m.join(gone, m["msg_id"] == gone["k"], "left").select("msg_id", F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"\n\s*\n+", "\n\n")).alias("authored"))
+    return m.join(gone, m["msg_id"] == gone["k"], "left").select("msg_id", F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), r"\n\s*\n+", "\n\n"), r"\A\s+|\s+\z", "").alias("authored"))

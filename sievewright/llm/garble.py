@@ -51,7 +51,8 @@ SIGNS = set("€£¥§°№·•…–—‘’‚“”„«»‹›¡¿½¼¾
 ALPHABETS = {"de": "äöüß", "en": "", "fr": "àâæçéèêëîïôœùûüÿ", "es": "áéíñóúü", "it": "àèéìíîòóùú", "nl": "áéèëïóöü", "pl": "ąćęłńóśźż", "ru": "абвгдеёжзийклмнопрстуфхцчшщъыьэюя"}
 # Signs that a lone garbled letter may have been.
 LONE_SIGNS = "–—’‘“”„€…"
-TOKEN = re.compile(r"[A-Za-z']*[^\x00-\x7f][A-Za-z'\x80-\U0010ffff]*")
+# the look behind keeps a long run of ASCII letters from being tried from each of them
+TOKEN = re.compile(r"(?:(?<![A-Za-z'])[A-Za-z']++)?[^\x00-\x7f][A-Za-z'\x80-\U0010ffff]*")
 #: Beyond doubt: the replacement character, and C1 controls, which no encoding in use has for text.
 CERTAIN = re.compile("[�\x80-\x84\x86-\x9f]")
 _LOST_HYPHEN, _LOST_SPACE = re.compile("Ã(?=[a-z])"), re.compile("[ÃÂ]$")
