@@ -183,15 +183,15 @@ FROM (SELECT *, c + h AS foreign_n FROM (SELECT doc_id, {_REASONS} AS r1, {_COUN
 def verdict_merge(spark: SparkSession, at: str) -> DataFrame:
     """One verdict of two screeners: any flag, all reasons in order."""
     t = F.col("text")
-    v = screening.merge(screening.verdict(screening.heuristic(t)), screening.verdict(screening.script_gate(["en", "de"])(t)))
-    return _injected(spark, at).select("doc_id", v.alias("v")).select("doc_id", "v.flagged", F.array_join("v.reasons", ", ").alias("reasons"))
+    d = _injected(spark, at).select("doc_id", screening.heuristic(t).alias("a"), screening.script_gate(["en", "de"])(t).alias("b"))
+    return d.select("doc_id", screening.merge(screening.verdict(F.col("a")), screening.verdict(F.col("b"))).alias("v")).select("doc_id", "v.flagged", F.array_join("v.reasons", ", ").alias("reasons"))
 
 
 @_query(f"SELECT doc_id, CASE WHEN r = '' THEN regexp_replace(text, {_INVISIBLE_SQL}, '', 'g') ELSE replace({_q(screening.NOTICE)}, '%s', r) END AS shown FROM (SELECT doc_id, text, {_REASONS} AS r FROM {_INJECTED})")
 def guard_redact(spark: SparkSession, at: str) -> DataFrame:
     """Texts as they are shown: cleaned, or a notice with the reasons."""
     t = F.col("text")
-    return _injected(spark, at).select("doc_id", screening.guard(t, screening.heuristic(t)).alias("shown"))
+    return _injected(spark, at).select("doc_id", "text", screening.heuristic(t).alias("r")).select("doc_id", screening.guard(t, F.col("r")).alias("shown"))
 
 
 @_query("""SELECT doc_id, p, substring(text, p * 4000 + 1, 4000) AS page, n AS total_chars, least(p * 4000 + 4000, n) AS next_offset, p * 4000 + 4000 < n AS has_more
@@ -671,8 +671,8 @@ def flagship(spark: SparkSession, at: str) -> DataFrame:
     """The newest messages, screened, redacted and paged, with their current registry entries counted: listing end to end."""
     m = listing.newest(_mail(spark, at), _K, by="mailbox")
     s = F.coalesce("subject", F.lit(""))
-    shown = screening.guard(s, screening.chain(screening.heuristic, screening.script_gate(["en", "de", "ru"]))(s))
-    return m.select("mailbox", "uid", text.page(shown, 0, 80)["page"].alias("subject"))
+    r = m.select("mailbox", "uid", s.alias("s"), screening.chain(screening.heuristic, screening.script_gate(["en", "de", "ru"]))(s).alias("r"))
+    return r.select("mailbox", "uid", text.page(screening.guard(F.col("s"), F.col("r")), 0, 80)["page"].alias("subject"))
 
 
 __all__ = ["QUERIES", "SQL", "flagship", "changes"]
