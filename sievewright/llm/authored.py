@@ -60,7 +60,7 @@ _WORD, _DIGIT = re.compile(r"\w+"), re.compile(r"\d")
 
 FEATURES = (
     "depth", "enclosed", "in_forward", "separator", "rule", "header_share", "introduces", "contact_density", "n_lines", "mean_length", "after_closing", "after_rule",
-    "ends_sentence", "blocks_after", "place", "capital_share", "names", "closing", "digit_share", "longest", "quoted_before", "quoted_after", "before_contact", "first_own",
+    "ends_sentence", "blocks_after", "place", "capital_share", "names", "closing", "digit_share", "longest", "quoted_before", "quoted_after", "before_contact", "first_own", "closes_after",
     "sender_frequency", "ancestors",
 )
 
@@ -166,11 +166,11 @@ def describe(text: str) -> tuple[list[Block], np.ndarray, list[int]]:
             labels[k] = 1
             continue
         words = _WORD.findall(t)
-        row[:24] = (
+        row[:25] = (
             b.depth, enclosed, forward or next_forward, b.kind == "separator", b.kind == "rule", sum(bool(HEADER.match(y)) for y in b.lines) / len(b.lines), introduces or unmarked,
             10 * contact[k] / max(1, len(words)), len(b.lines), len(t) / len(b.lines), closing_seen, after_rule,
             bool(SENTENCE.search(t)), n - 1 - k, k / n, sum(map(str.isupper, [w[0] for w in words])) / max(1, len(words)), sum(bool(NAME.match(y)) for y in b.lines) / len(b.lines), closing,
-            len(_DIGIT.findall(t)) / max(1, len(t)), max(map(len, b.lines)), any(quoted[:k]), any(quoted[k + 1 :]), contact[k + 1] / max(1, len(blocks[k + 1].lines)) if after else 0, not n_own,
+            len(_DIGIT.findall(t)) / max(1, len(t)), max(map(len, b.lines)), any(quoted[:k]), any(quoted[k + 1 :]), contact[k + 1] / max(1, len(blocks[k + 1].lines)) if after else 0, not n_own, any(closes[k + 1 :]),
         )
         if b.depth or enclosed or introduces or unmarked or forward or next_forward or b.kind == "rule" or after_rule:
             labels[k] = 1
@@ -327,6 +327,7 @@ def _training(counted: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
     # the same blocks without the marks before them, so that the trees learn to tell a notice or signature by itself
     bare = x[:, FEATURES.index("depth")] == 0
     bare &= x[:, FEATURES.index("in_forward")] == 0
+    bare &= x[:, FEATURES.index("ends_sentence")] == 0  # a paragraph of sentences is told by its place alone
     plain = x[bare].copy()
     plain[:, [FEATURES.index("after_closing"), FEATURES.index("after_rule")]] = 0
     return np.concatenate((x, plain)), np.concatenate((y, y[bare]))
