@@ -203,4 +203,30 @@ def p9_shares(spark: SparkSession, at: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p1_chains, p2_found, p2_documents, p2_segments, p3_found, p3_keys, p3_subjects, p3_bodies, p6_found, p6_authored, p7_assignment, p7_fill, p7_steps, p8_found, p8_passages, p8_items, p8_clean, p9_found, p9_shares)}
-SQL: dict[str, str] = {}
+_GRAMS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+e AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_item),
+dg AS (SELECT doc_id, k, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)),
+eg AS (SELECT item_id, j, array_to_string(w[j:j + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS j FROM e)),
+hit AS (SELECT DISTINCT doc_id, item_id, k, j FROM dg JOIN eg USING (g)),
+island AS (SELECT doc_id, item_id, k, j, k - row_number() OVER (PARTITION BY doc_id, item_id, k - j ORDER BY k) AS run FROM hit),
+passage AS (SELECT doc_id, item_id, min(k) - 1 AS doc_word, min(j) - 1 AS item_word, count(*) + 12 AS n_words FROM island GROUP BY doc_id, item_id, k - j, run)
+"""
+_SPANS = """
+WITH w AS (SELECT doc_id, i, hash(substring(text, i + 1, 300)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 299)) AS i FROM documents)),
+r AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+m AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 300 THEN 0 ELSE 1 END AS fresh FROM w SEMI JOIN r USING (h)),
+n AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM m),
+span AS (SELECT doc_id, min(i)::BIGINT AS span_start, (max(i) + 300)::BIGINT AS span_end FROM n GROUP BY doc_id, run)
+"""
+SQL: dict[str, str] = {
+    "p8_found": _GRAMS + "SELECT DISTINCT doc_id, item_id FROM hit",
+    "p8_passages": _GRAMS + "SELECT * FROM passage",
+    "p8_items": _GRAMS + "SELECT i.item_id, count(DISTINCT p.doc_id) AS n_documents, coalesce(max(p.n_words), 0) AS longest FROM eval_item i LEFT JOIN passage p ON i.item_id = p.item_id GROUP BY i.item_id",
+    "p8_clean": _GRAMS + "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)",
+    "p9_found": _SPANS + "SELECT doc_id, span_start, span_end FROM span",
+    "p9_shares": _SPANS
+    + """, s AS (SELECT doc_id, sum(span_end - span_start)::BIGINT AS n FROM span GROUP BY doc_id)
+SELECT d.doc_id, length(d.text) AS n_chars, coalesce(s.n, 0) AS shared_chars, CASE WHEN length(d.text) > 0 THEN round(coalesce(s.n, 0) / length(d.text), 6) ELSE 0 END AS share
+FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id""",
+}
