@@ -41,6 +41,7 @@ RUSSIAN = "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯа
 LEADS = "ÂÃÄÅÐÑâÎÏÉ├┬┼─√¬ƒĂĹ"
 # Cyrillic readings of UTF-8 lead bytes, and signs that their trail bytes become.
 CYRILLIC_LEADS = "ГДЕВРСО"
+CYRILLIC_PAGES = "РС"
 TRAILS = "‚›„‡‰¤¦§©¬®±µ¶·™°€†"
 
 
@@ -110,7 +111,7 @@ class Tables:
         for ch in RUSSIAN:
             self.foreign[ord(ch)] = False
         mark = lambda s: self._set(s)
-        self.leads, self.cyrillic_leads, self.trails = mark(LEADS), mark(CYRILLIC_LEADS), mark(TRAILS)
+        self.leads, self.cyrillic_leads, self.trails, self.pages = mark(LEADS), mark(CYRILLIC_LEADS), mark(TRAILS), mark(CYRILLIC_PAGES)
 
     @staticmethod
     def _set(chars: str) -> np.ndarray:
@@ -214,7 +215,10 @@ def consistent(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     kind[high], length[high] = GOES, 0
     odd = np.flatnonzero((points == 0xA0) | (points == 0xAD))
     if len(odd):
-        odd = odd[(odd > 0) & t.leads[np.minimum(points[np.maximum(odd - 1, 0)], LIMIT - 1)] & (row[np.maximum(odd - 1, 0)] == row[odd])]
+        before, after = np.maximum(odd - 1, 0), np.minimum(odd + 1, len(points) - 1)
+        # Cyrillic read as another Cyrillic page: the lead bytes become two letters, before and after
+        leads = t.leads[low[before]] | t.pages[low[before]] & t.pages[low[after]] & (row[after] == row[odd])
+        odd = odd[(odd > 0) & leads & (row[before] == row[odd])]
         kind[odd], length[odd] = STAYS, 1
     case[row[kind != STAYS]] = True
     if case.any():
