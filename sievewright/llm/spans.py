@@ -29,7 +29,7 @@ from sievewright.staging import written
 #: Classes of contexts in a group up to which they are compared with one another; beyond, stretches are hashed.
 FEW = 48
 #: Sketch: cells per row are a power of two near four per anchor, within these bounds; two bits a cell, two rows.
-LEAST_BITS, MOST_BITS = 16, 27
+LEAST_BITS, MOST_BITS = 16, 26
 #: Texts on which the dictionary that packs contexts is trained; it only saves shuffled bytes.
 SAMPLE_TEXTS = 400
 #: Bytes of a block of the sketch, the unit in which partitions' sketches are merged.
@@ -142,21 +142,17 @@ class Sketch:
             cell, n = np.unique(at, return_counts=True)
             row[cell] = np.minimum(row[cell] + np.minimum(n, 2), 2)
 
-    def repeated(self, h: np.ndarray) -> np.ndarray:
-        """If a hash was counted more than once, or may have been."""
-        a, b = self._at(h)
-        return np.minimum(self.cells[0][a], self.cells[1][b]) > 1
-
     def packed(self) -> np.ndarray:
         c = self.cells.reshape(-1, 4)
         return c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6
 
-    @classmethod
-    def unpacked(cls, bits: int, packed: np.ndarray) -> Sketch:
-        cells = np.empty((len(packed), 4), np.uint8)
-        for i in range(4):
-            cells[:, i] = packed >> 2 * i & 3
-        return cls(bits, cells.reshape(2, -1))
+
+def repeated(packed: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+    """If a hash was counted more than once in a packed sketch, or may have been; reads it as it is, without unpacking."""
+    a, b = Sketch(bits, packed)._at(h)
+    b = b + (1 << bits)
+    many = lambda at: (packed[at >> 2] >> (2 * (at & 3)).astype(np.uint8) & 3) > 1
+    return many(a) & many(b)
 
 
 def merged_sketch(hashes: DataFrame, bits: int) -> bytes:
@@ -279,12 +275,12 @@ def shared_spans(documents: DataFrame, least: int = 300, doc_id: str = "doc_id",
     sketch = docs.sparkSession.sparkContext.broadcast(merged_sketch(found, bits))
     dictionary = _dictionary(docs)
 
-    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Sketch.unpacked(bits, np.frombuffer(sketch.value, np.uint8))
+    def around_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = np.frombuffer(sketch.value, np.uint8)
         pack = _packer(dictionary).compress
         for ids, points, starts in _texts(batches):
             at, h = anchors(points, starts, least)
-            at = at[s.repeated(h)]
+            at = at[repeated(packed, bits, h)]
             row = np.searchsorted(starts, at, side="right") - 1
             a, z = np.maximum(at - reach, starts[row]), np.minimum(at + k + reach, starts[row + 1])
             raw = points.astype("<u4").tobytes()
@@ -298,7 +294,7 @@ def shared_spans(documents: DataFrame, least: int = 300, doc_id: str = "doc_id",
                 names=["grp", "ctx", "doc_id", "pos", "n_left", "around"],
             )
 
-    windows = written(docs.mapInArrow(repeated, "grp binary, ctx bigint, doc_id bigint, pos int, n_left int, around binary"), "windows")
+    windows = written(docs.mapInArrow(around_repeated, "grp binary, ctx bigint, doc_id bigint, pos int, n_left int, around binary"), "windows")
     classes = windows.groupBy("grp", "ctx").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("n_left").alias("n_left"), F.first("around").alias("around"))
     # counted without the contexts, which then move only for groups that more than one record is in
     narrow = windows.groupBy("grp", "ctx").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
