@@ -60,7 +60,8 @@ _LOST_HYPHEN, _LOST_SPACE = re.compile("Ã(?=[a-z])"), re.compile("[ÃÂ]$")
 _SIGNS, _JOINING = "".join(SIGNS), "’‘·­⁠​‌‍﻿‑"
 _ODD, _CAPITAL = re.compile(r"[^\x00-\x7f]"), re.compile(r"(?<=[a-zà-ÿ])[À-Þ]")
 # disguise is no garble: letters that look Latin within Latin words, and spaces and invisible characters of other kinds
-_DISGUISE = {x[0] for x in f"{CYRILLIC_AS_LATIN} {GREEK_AS_LATIN}".split()} | {chr(c) for c in (0xA0, 0xAD, *range(0x2000, 0x2010), 0x202F, *range(0x2060, 0x2065), 0x3000, 0xFEFF)}
+_BLANKS = {chr(c) for c in (0xA0, 0xAD, *range(0x2000, 0x2010), 0x202F, *range(0x2060, 0x2065), 0x3000, 0xFEFF)}
+_DISGUISE = {x[0] for x in f"{CYRILLIC_AS_LATIN} {GREEK_AS_LATIN}".split()} | _BLANKS
 _PARAGRAPH = re.compile(r"(\n[ \t\r]*\n)")
 
 
@@ -174,7 +175,7 @@ class Mender:
         """If a step that can't be verified by itself gave something that the token may well have been."""
         if not self.orderly(was):
             return False
-        if any(ch.isascii() and ch.isalpha() for ch in token) and all(ch in _DISGUISE for ch in token if ord(ch) > 127):
+        if any(ch in _BLANKS for ch in token) or any(ch.isascii() and ch.isalpha() for ch in token) and all(ch in _DISGUISE for ch in token if ord(ch) > 127):
             return False
         letters = [ch for ch in was if ord(ch) > 127 and ch.isalpha()]
         if not letters:
