@@ -33,7 +33,7 @@ def _garbled(sign: str) -> set[str]:
         for wrong in wrongs.split():
             raw = sign.encode(right, "ignore")
             s = raw.decode(wrong, "ignore").strip()
-            if s and s != sign and not s.isalnum():
+            if s and s != sign and not all(unicodedata.category(ch) in ("Lu", "Ll", "Nd") for ch in s):
                 out.add(s)
                 out.add(s.encode("utf-8").decode("cp1252", "ignore"))
     return out
@@ -47,7 +47,8 @@ QUOTE = re.compile(rf"^[ \t]*(?:{_MARK}|{_LOST})(?:[ \t]?(?:{_MARK}|{_LOST}))*")
 ONE_MARK = re.compile(f"{_MARK}|\ufffd")
 RULE = re.compile(r"^\s*[-_=*~#+.—–]{2,}\s*$")
 SEPARATOR = re.compile(r"^\s*([-_=*]{4,})\s*\S.*?\S\s*[-_=*]{4,}\s*$")
-HEADER = re.compile(r"^\s*\*?([^\W\d_][^\W\d_ ’'-]{0,14}(?: [^\W\d_]{1,10})?)\s?:\*?(?=\s|$)")
+# a name of one or two words and a colon; a garbled one has signs in it
+HEADER = re.compile(r"^\s*\*?([^\s\d!-/:-@\[-`{-~][^\s\d:@<>|]{0,16}(?: [^\s\d:@<>|]{1,12})?)\s?:\*?(?=\s|$)")
 ADDRESS = re.compile(r"(?<![\w.+-])[\w.+-]++@[\w-]+\.\w+")
 CONTACT = re.compile(r"(?<![\w.+-])[\w.+-]++@[\w-]+\.\w+|\+\d[\d /()-]{5,}|\b(?:tel|fon|phone|fax|mobil|www)\b|https?://|[|·]")
 NAME = re.compile(r"^\s*(?:[^\W\d_]\.\s?)?[^\W\d_][\w’'-]+(?:\s+[^\W\d_][\w’'-]+)?\s*$")
@@ -149,8 +150,8 @@ def describe(text: str) -> tuple[list[Block], np.ndarray, list[int]]:
         t = flat[k]
         before, after = (blocks[k - 1] if k else None), (blocks[k + 1] if k + 1 < n else None)
         tight_before, tight_after = bool(before and before.last == b.first - 1), bool(after and after.first == b.last + 1)
-        enclosed = not b.depth and tight_before and tight_after and quoted[k - 1] and quoted[k + 1]
-        # text between quoted lines without a blank line was wrapped out of the quote
+        enclosed = not b.depth and tight_before and quoted[k - 1] and (tight_after and quoted[k + 1] or len(b.lines) == 1 and not b.lines[0][:1].isupper())
+        # text between quoted lines without a blank line was wrapped out of the quote, as was a small-lettered line right under it
         introduces = not b.depth and bool(after) and quoted[k + 1] and t.endswith(":") and len(b.lines) <= 4
         if b.kind in ("separator",) or b.kind == "headers" and (len(b.lines) > 2 or any(ADDRESS.search(y) for y in b.lines) or before is not None and before.kind in ("rule", "separator") and tight_before):
             forward = True
