@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions import kinds, screening, text
-from sievewright.operators import changes, invoices, listing, memo, mime, registries
+from sievewright.operators import invoices, listing, memo, mime, registries
 from sievewright.streaming import cursors
 
 QUERIES = {}
@@ -372,9 +372,6 @@ def mime_sniff(spark: SparkSession, at: str) -> DataFrame:
     return _table(spark, at, "documents").select("doc_id", kinds.sniffed_type(declared, data).alias("kind"))
 
 
-_FORMS = "CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00' WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 2 THEN strftime(ts, '%Y-%m-%d') ELSE 'soon' END"
-
-
 @_query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN date_trunc('second', ts) - INTERVAL 2 HOUR WHEN 1 THEN date_trunc('second', ts) WHEN 2 THEN date_trunc('day', ts) END AS moment FROM events")
 def since_date_parse(spark: SparkSession, at: str) -> DataFrame:
     """Moments in three spellings, and what is none."""
@@ -675,4 +672,4 @@ def flagship(spark: SparkSession, at: str) -> DataFrame:
     return r.select("mailbox", "uid", text.page(screening.guard(F.col("s"), F.col("r")), 0, 80)["page"].alias("subject"))
 
 
-__all__ = ["QUERIES", "SQL", "flagship", "changes"]
+__all__ = ["QUERIES", "SQL", "flagship"]

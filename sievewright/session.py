@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -23,3 +25,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def workers_find_package(spark: SparkSession) -> None:
+    """Let the Python workers of a session import this package from where the driver has it.
+
+    Needed where the driver was started with another working folder and no PYTHONPATH; a cluster that ships
+    the package by itself (``--py-files``) is not disturbed.
+    """
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if here not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, here])
