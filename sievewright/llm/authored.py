@@ -321,7 +321,8 @@ def _features(rows: list[bytes], sent: np.ndarray, others: np.ndarray) -> np.nda
 
 
 def _training(counted: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = counted.filter("label >= 0").select("x", "sent", "others", "label").limit(sample).toPandas()
+    # the least hashes: spread over all messages, and the same in every run
+    rows = counted.filter("label >= 0").orderBy(F.xxhash64("msg_id", "first_line"), "msg_id", "first_line").limit(sample).select("x", "sent", "others", "label").toPandas()
     if rows.empty:
         return np.zeros((0, len(FEATURES)), np.float32), np.zeros(0)
     x, y = _features([bytes(v) for v in rows["x"]], rows["sent"].to_numpy(), rows["others"].to_numpy()), rows["label"].to_numpy().astype(float)
