@@ -321,8 +321,11 @@ def _features(rows: list[bytes], sent: np.ndarray, others: np.ndarray) -> np.nda
 
 
 def _training(counted: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    # the least hashes: spread over all messages, and the same in every run
-    rows = counted.filter("label >= 0").orderBy(F.xxhash64("msg_id", "first_line"), "msg_id", "first_line").limit(sample).select("x", "sent", "others", "label").toPandas()
+    sure = counted.filter("label >= 0")
+    # by hash of the block: spread over all messages, the same in every run, about ``sample`` of them
+    share = min(1.0, sample / max(1, sure.count()))
+    part = F.pmod(F.xxhash64("msg_id", "first_line"), F.lit(1 << 20)) < int(share * (1 << 20))
+    rows = sure.filter(part).select("msg_id", "first_line", "x", "sent", "others", "label").toPandas().sort_values(["msg_id", "first_line"])
     if rows.empty:
         return np.zeros((0, len(FEATURES)), np.float32), np.zeros(0)
     x, y = _features([bytes(v) for v in rows["x"]], rows["sent"].to_numpy(), rows["others"].to_numpy()), rows["label"].to_numpy().astype(float)
