@@ -6,7 +6,8 @@ the rest). Each tier is packed from its largest size down; the gaps of a contain
 sizes that still fit, from the same tier and then from shorter ones, and the last gap by the best pair. A plan is a list
 of patterns with how often each is used. Texts are then numbered within their size, in salted parts so that a size that
 very many texts share is spread, and the number alone says which container and place a text gets. Containers of a tier are
-dealt to step groups back and forth by fill, so that the groups of a tier carry nearly the same number of tokens.
+dealt to step groups back and forth by fill, so that the groups of a tier carry nearly the same number of tokens. Containers
+that one piece of an oversized text fills are the fullest of the first tier and are dealt before all others of it.
 """
 
 from __future__ import annotations
@@ -60,7 +61,8 @@ class Plan:
     tier: np.ndarray
     steps: np.ndarray  # step groups in the tier
     step_base: np.ndarray
-    n_containers: int = 0
+    n_containers: int = 0  # without the full ones, which are numbered after these
+    full_steps: int = 1  # step groups in the first tier, over which the full containers are dealt from its place 0 on
     fills: list[tuple[int, int]] | None = None  # (tokens in a container, containers)
 
 
@@ -89,8 +91,17 @@ def _best_pair(sizes: list[int], counts: dict[int, int], free: int, sep: int) ->
     return max(a, b), min(a, b)
 
 
-def plan(histogram: dict[int, int], capacity: int, separator: int, group: int = 8) -> Plan:
-    """Pack a histogram {size: how many}, sizes from 1 to ``capacity``; each pattern uses up a size, so there are few."""
+def _step(position: np.ndarray, steps: np.ndarray | int) -> np.ndarray:
+    """The step group, counted within the tier, of a container by its place there."""
+    lap, at = position // steps, position % steps
+    return np.where(lap % 2 == 0, at, steps - 1 - at)
+
+
+def plan(histogram: dict[int, int], capacity: int, separator: int, group: int = 8, full: int = 0) -> Plan:
+    """Pack a histogram {size: how many}, sizes from 1 to ``capacity``; each pattern uses up a size, so there are few.
+
+    ``full`` containers besides, each filled by one piece of an oversized text, take the first places of the first tier.
+    """
     counts = {s: n for s, n in histogram.items() if n > 0}
     sizes = sorted(counts)
     used = dict.fromkeys(sizes, 0)
@@ -128,11 +139,14 @@ def plan(histogram: dict[int, int], capacity: int, separator: int, group: int =
             sizes = [s for s in sizes if counts[s]]
     # step groups: per tier, containers by fill, dealt back and forth
     place: dict[int, tuple[int, int, int]] = {}
-    step_base = 0
+    step_base, full_steps = 0, 1
     for tier in range(4):
         own = sorted((i for i, p in enumerate(patterns) if _tier(p[0][0][0], capacity) == tier), key=lambda i: -patterns[i][2])
-        n = sum(patterns[i][1] for i in own)
-        steps, at = max(1, -(-n // group)), 0
+        at = full if tier == 0 else 0
+        n = sum(patterns[i][1] for i in own) + at
+        steps = max(1, -(-n // group))
+        if tier == 0:
+            full_steps = steps
         for i in own:
             place[i] = (at, steps, step_base)
             at += patterns[i][1]
@@ -148,7 +162,7 @@ def plan(histogram: dict[int, int], capacity: int, separator: int, group: int =
             offset += k * (s + separator)
         base += many
     a = np.array(sorted(rows), np.int64).reshape(-1, 9)
-    return Plan(*(a[:, j].copy() for j in range(9)), n_containers=base, fills=[(f, m) for _, m, f in patterns])
+    return Plan(*(a[:, j].copy() for j in range(9)), n_containers=base, full_steps=full_steps, fills=[(f, m) for _, m, f in patterns])
 
 
 def pack(documents: DataFrame, containers: DataFrame, group: int = 8, vocabulary: str = VOCABULARY, sizes: DataFrame | None = None) -> DataFrame:
@@ -172,7 +186,7 @@ def pack(documents: DataFrame, containers: DataFrame, group: int = 8, vocabulary
     plans, whole_base = {}, {}
     for i, c, sep in specs:
         own = {r["rest"]: (r["n"], r["whole"]) for r in table if r["container_id"] == i}
-        plans[i] = plan({s: n for s, (n, _) in own.items() if s > 0}, c, sep, group)
+        plans[i] = plan({s: n for s, (n, _) in own.items() if s > 0}, c, sep, group, sum(whole for _, whole in own.values()))
         at = plans[i].n_containers
         for s in sorted(own):
             whole_base[i, s] = at
@@ -204,9 +218,7 @@ def pack(documents: DataFrame, containers: DataFrame, group: int = 8, vocabulary
                     q = np.searchsorted(p.key, rest[some] << _SHIFT | r[some], side="right") - 1
                     nth = r[some] - (p.key[q] & ((1 << _SHIFT) - 1))
                     turn, inner = nth // p.copies[q], nth % p.copies[q]
-                    pos = p.position[q] + turn
-                    lap, at = pos // p.steps[q], pos % p.steps[q]
-                    step = p.step_base[q] + np.where(lap % 2 == 0, at, p.steps[q] - 1 - at)
+                    step = p.step_base[q] + _step(p.position[q] + turn, p.steps[q])
                     sep = int(separators[int(i)])
                     cols = [np.full(some.sum(), i), p.base[q] + turn, p.slot[q] + inner, p.offset[q] + inner * (rest[some] + sep), None, whole[some], whole[some] * capacity[some], rest[some], p.tier[q], step]
                     out.append((cols, doc.filter(pa.array(some))))
@@ -217,7 +229,8 @@ def pack(documents: DataFrame, containers: DataFrame, group: int = 8, vocabulary
                     size = np.repeat(capacity[cutup], k)
                     zero = np.zeros(len(piece), np.int64)
                     src = np.repeat(np.flatnonzero(cutup), k)
-                    out.append(([np.full(len(piece), i), np.repeat(first, k) + piece, zero, zero, None, piece, piece * size, size, zero, None], doc.take(pa.array(src))))
+                    no = np.repeat(first, k) + piece
+                    out.append(([np.full(len(piece), i), no, zero, zero, None, piece, piece * size, size, zero, _step(no - p.n_containers, p.full_steps)], doc.take(pa.array(src))))
                 if (empty := n == 0).any():
                     zero = np.zeros(empty.sum(), np.int64)
                     out.append(([np.full(empty.sum(), i), None, None, None, None, zero, zero, zero, None, None], doc.filter(pa.array(empty))))

@@ -154,7 +154,7 @@ def p7_fill(spark: SparkSession, at: str) -> DataFrame:
 
 def p7_steps(spark: SparkSession, at: str) -> DataFrame:
     """Tokens and containers of every step group."""
-    a = p7_assignment(spark, at).filter("step IS NOT NULL")
+    a = p7_assignment(spark, at).filter("container_no IS NOT NULL")  # texts without tokens are in no container
     return a.groupBy("container_id", "tier", "step").agg(F.countDistinct("container_no").alias("n_containers"), F.sum("n_tokens").alias("tokens"))
 
 

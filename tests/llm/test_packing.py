@@ -1,7 +1,7 @@
 import math
 import random
 
-from sievewright.llm import packing
+from sievewright.llm import packing, queries
 
 
 def check(spark, sizes, specs, group=4):
@@ -78,3 +78,33 @@ def test_tokens_of_whole_texts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "a b " * 30_000)], "doc_id bigint, text string")
     got = {r["doc_id"]: r["n_tokens"] for r in packing.token_sizes(df).collect()}
     assert got[2] == got[3] == 0 and got[1] > 1 and got[4] >= 60_000
+
+
+def test_every_container_has_one_step(spark):
+    rng = random.Random(6)
+    sizes = [rng.randrange(300, 2000) for _ in range(60)] + [rng.randrange(0, 120) for _ in range(300)]
+    specs = [(1, 128, 1, "c"), (2, 256, 0, "c")]
+    sz = spark.createDataFrame(list(enumerate(sizes)), "doc_id bigint, n_tokens bigint")
+    spec = spark.createDataFrame(specs, "container_id int, capacity_tokens int, separator_tokens int, doc_id string")
+    rows = packing.pack(spark.createDataFrame([], "doc_id bigint, text string"), spec, 4, sizes=sz).collect()
+    for cid, capacity, *_ in specs:
+        steps, tier_of, groups = {}, {}, {}
+        for r in rows:
+            if r["container_id"] == cid and r["container_no"] is not None:
+                steps.setdefault(r["container_no"], set()).add(r["step"])
+                tier_of.setdefault(r["step"], set()).add(r["tier"])
+                group = groups.setdefault((r["tier"], r["step"]), [set(), 0])
+                group[0].add(r["container_no"])
+                group[1] += r["n_tokens"]
+        assert all(len(s) == 1 and None not in s for s in steps.values())
+        assert all(len(t) == 1 for t in tier_of.values())
+        for tier in {t for t, _ in groups}:
+            own = [g for (t, _), g in groups.items() if t == tier]
+            assert max(len(c) for c, _ in own) <= 4 and max(n for _, n in own) - min(n for _, n in own) <= capacity
+
+
+def test_steps_hold_all_tokens(spark, data):
+    documents, spec = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/container_spec.parquet")
+    tokens = packing.token_sizes(documents).groupBy().sum("n_tokens").first()[0]
+    got = {r[0]: r[1] for r in queries.p7_steps(spark, data).filter("step IS NOT NULL").groupBy("container_id").sum("tokens").collect()}
+    assert got == {r["container_id"]: tokens for r in spec.collect()}
