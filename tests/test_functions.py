@@ -1,3 +1,4 @@
+import zlib
 from datetime import UTC, datetime
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import kinds, screening, text
 from sievewright.functions.re2 import to_java
-from sievewright.operators import memo
+from sievewright.operators import invoices, memo
 from sievewright.plans.catalog import PHRASES
 
 
@@ -118,3 +119,15 @@ def test_redaction_and_merge(spark):
     assert shown[0].startswith("[REDACTED") and "instruction_override_en" in shown[0] and shown[1].startswith("[REDACTED") and shown[2] is None
     assert df.select(screening.guard(F.col("t"), r, True).alias("o")).collect()[1]["o"] == "fine"
     assert abs(spark.range(1).select(screening.softmax_of_two(F.lit(-900.0), F.lit(900.0)).alias("o")).first()["o"] - 1) < 1e-12
+
+
+def test_invoice_behind_a_long_prolog(spark):
+    prologs = [b"", b"<?xml version='1.0'?>\n<!DOCTYPE Invoice>", b"<!-- <Order/> " + b"x" * 70_000 + b" -->", b"<?note " + b"y" * 70_000 + b"?>" + b"<!-- z -->" * 7_000]
+    xml = b"<x:Invoice xmlns:x='u'><x:ID>R1</x:ID></x:Invoice>"
+    for packed in (bytes, zlib.compress):
+        pdfs = [b"%PDF-1.7\nstream\n" + packed(p + xml) + b"\nendstream" for p in prologs]
+        df = spark.createDataFrame([(i, "application/pdf", "a.pdf", bytearray(f)) for i, f in enumerate(pdfs)], "i int, content_type string, filename string, data binary")
+        got = invoices.of_attachments(df).select("i", "invoice.invoice_number").collect()
+        assert sorted(map(tuple, got)) == [(i, "R1") for i in range(len(prologs))]
+    for other in (b"<!-- <Invoice> ", b"<Order><Invoice/></Order>", b"<!-- " + b"x" * 70_000 + b"--><Order><Invoice/></Order>", b"< >", b"<"):
+        assert invoices.xml_in_pdf(b"stream\n" + other + b"\nendstream") is None
