@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Labelled texts that a model may be fitted on, and characters of them per language; raising them changes quality, not results' completeness.
@@ -48,13 +48,46 @@ def label_code(label: str | None) -> str | None:
     return CODE_OF.get(s) or CODE_OF.get(re.split(r"[-_@. ]", s)[0])
 
 
+def label_column(label: Column) -> Column:
+    """:func:`label_code` as a Column."""
+    name = F.lower(F.regexp_replace(label, r"(?U)^\s+|\s+$", ""))
+    known = F.create_map(*[F.lit(x) for pair in CODE_OF.items() for x in pair])
+    return F.coalesce(known[name], known[F.split(name, "[-_@. ]")[0]])
+
+
+def _quotas(counts: dict[str, int], most: int) -> dict[str, int]:
+    """How many of ``most`` texts each language gets: equal parts; what a language can't fill goes to the others."""
+    out: dict[str, int] = {}
+    for k, c in enumerate(sorted(counts, key=lambda c: (counts[c], c))):
+        out[c] = min(counts[c], (most - sum(out.values())) // (len(counts) - k))
+    return out
+
+
+def labelled_texts(documents: DataFrame, language: str, text: str, most_texts: int) -> dict[str, list[str]]:
+    """At most ``most_texts`` texts by the language of their label, drawn by a share of row hashes per language.
+
+    They are spread over the table however it is ordered, and the same in every run; all texts if there are no more.
+    """
+    row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in documents.dtypes if "map<" not in kind and "variant" not in kind])
+    known = documents.select(label_column(F.col(language)).alias("code"), F.col(text).alias("text"), row.alias("h")).filter("code IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    counts = {r["code"]: r["count"] for r in known.groupBy("code").count().collect()}
+    quotas = _quotas(counts, most_texts)
+    if not quotas:
+        return {}
+    # somewhat more than the quota by share, so that few rows are ranked; then the quota exactly, as repeated rows share their hash
+    share = {c: min(1.0, (q + 6 * math.sqrt(q)) / counts[c]) for c, q in quotas.items()}
+    of = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("code")]
+    drawn = known.filter(F.pmod("h", F.lit(1 << 40)) < of({c: math.ceil(x * (1 << 40)) for c, x in share.items()}))
+    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("code").orderBy(F.pmod("h", F.lit(1 << 40)), "text"))).filter(F.col("rank") <= most_texts)
+    by: dict[str, list[str]] = {}
+    for r in sorted(ranked.filter(F.col("rank") <= of(quotas)).select("code", "rank", "text").collect(), key=lambda r: (r["code"], r["rank"])):
+        by.setdefault(r["code"], []).append(r["text"])
+    return by
+
+
 def labelled_sentences(documents: DataFrame, language: str = "lang", text: str = "text", most_texts: int = SAMPLE_TEXTS, most_chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
     """Clean sentences per language from at most ``most_texts`` labelled texts, about ``most_chars`` characters per language."""
-    known = documents.select(F.col(language).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    by: dict[str, list[list[str]]] = defaultdict(list)
-    for r in known.limit(most_texts).collect():
-        if code := label_code(r["lang"]):
-            by[code].append(sentences(r["text"]))
+    by = {c: [sentences(t) for t in texts] for c, texts in labelled_texts(documents, language, text, most_texts).items()}
     counts = {c: Counter(w for d in docs for s in d for w in set(WORD.findall(s.lower()))) for c, docs in by.items()}
     total = {c: sum(n.values()) or 1 for c, n in counts.items()}
     score: dict[str, dict[str, float]] = {}

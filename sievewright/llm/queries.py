@@ -54,10 +54,8 @@ def _languages(spark: SparkSession, at: str) -> DataFrame:
 
 
 def _label_code(column: str) -> Column:
-    """The language that a label names, null if it says nothing; the same rule as :func:`langdata.label_code`."""
-    name = F.lower(F.trim(F.col(column)))
-    known = F.create_map(*[F.lit(x) for pair in langdata.CODE_OF.items() for x in pair])
-    return F.coalesce(known[name], known[F.split(name, "[-_@. ]")[0]])
+    """The language that a label names, null if it says nothing."""
+    return langdata.label_column(F.col(column))
 
 
 def p2_found(spark: SparkSession, at: str) -> DataFrame:

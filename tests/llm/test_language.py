@@ -63,3 +63,23 @@ def test_mixed_disguised_and_blank(spark, model):
     assert [got[i]["lang"] for i in (2, 3, 6)] == [None] * 3
     assert got[4]["lang"] == "ru" and got[5]["lang"] == "en" and got[7]["lang"] == "en"
     assert language.identify(df.limit(0), model, "msg_id", "body").count() == 0
+
+
+def test_sample_has_every_language_of_a_sorted_table(spark):
+    rows = [(i, c, f"{c} text {i}") for i, c in enumerate(["de-DE"] * 500 + ["??"] * 50 + [None] * 50 + ["French"] * 300 + [" pl\t"] * 5)]
+    df = spark.createDataFrame(rows, "doc_id int, lang string, text string").coalesce(1)
+    got = langdata.labelled_texts(df, "lang", "text", 100)
+    assert {c: len(t) for c, t in got.items()} == {"de": 48, "fr": 47, "pl": 5}
+    assert got == langdata.labelled_texts(df.repartition(7), "lang", "text", 100)
+    assert max(int(t.split()[2]) for t in got["de"]) > 400 and min(int(t.split()[2]) for t in got["de"]) < 100
+    every = langdata.labelled_texts(df, "lang", "text", 1000)
+    assert {c: len(set(t)) for c, t in every.items()} == {"de": 500, "fr": 300, "pl": 5}
+    assert set(langdata.labelled_sentences(df, most_texts=100)) == {"de", "fr", "pl"}
+    assert langdata.labelled_texts(df.limit(0), "lang", "text", 100) == {}
+    assert len(langdata.labelled_texts(spark.createDataFrame([(1, "de", "same")] * 400, df.schema), "lang", "text", 100).get("de", [])) <= 100
+
+
+@pytest.mark.parametrize("label", ["de-DE", " ger\t", "DEUTSCH", "en_US", "und", "??", "", None, "x-none", "fr@euro", "русский"])
+def test_label_column_is_the_same_rule(spark, label):
+    df = spark.createDataFrame([(label,)], "t string")
+    assert df.select(langdata.label_column(df["t"])).first()[0] == langdata.label_code(label)
