@@ -218,16 +218,16 @@ class Mender:
             inner += sum(ch in SIGNS and ch not in _JOINING for ch in body) + sum(map(len, _CAPITAL.findall(body)))
         return {lang: 2 * inner + sum(n for ch, n in odd.items() if ch not in own and ch not in SIGNS) for lang, own in self.letters.items()}
 
-    def length(self, text: str, only: set[str] | None = None) -> tuple[int, list[str]]:
-        """(description length in bytes under the best language, languages from best to worst); ``only`` limits those tried."""
+    def length(self, text: str) -> int:
+        """Description length in bytes under the best of all languages."""
         raw = text.encode("utf-8", "surrogatepass")
-        esc = self._escapes(text)
-        if not esc:
-            return len(raw), []
-        least = min(esc.values())
-        tried = [x for x, n in esc.items() if n <= least + 2 and (only is None or x in only or n == least < 1)]
-        got = sorted((len(self.compress[x](raw)) + ESCAPE * esc[x], x) for x in tried or esc)
-        return got[0][0], [x for _, x in got]
+        best = None
+        for lang, n in sorted(self._escapes(text).items(), key=lambda x: x[1]):
+            if best is not None and ESCAPE * n >= best:
+                break  # the escapes alone cost more, here and in all that follow
+            size = len(self.compress[lang](raw)) + ESCAPE * n
+            best = size if best is None else min(best, size)
+        return len(raw) if best is None else best
 
     def mend_passage(self, text: str) -> tuple[str, list[str]]:
         """(text, names of the steps undone) of one passage; unchanged without steps if no chain describes it in fewer bytes."""
@@ -239,20 +239,17 @@ class Mender:
                     votes[i] += len(t)
             if not votes:
                 break
-            best, languages = self.length(text)
-            only = set(languages[:3]) | {"ru", "pl"}
+            best = self.length(text)
             after, taken = None, None
-            tried: dict[str, int] = {}
-            # the most supported steps; equal results are described once
-            for i, n in votes.most_common():
-                if n * 2 < votes.most_common(1)[0][1] and len(tried) > 2 or len(tried) > 8:
-                    break
+            tried: set[str] = set()
+            # every step with a vote, the most supported first; equal results are described once
+            for i, _ in votes.most_common():
                 step = self.steps[i]
                 new = TOKEN.sub(lambda m, i=i: self._mended(m.group(), i), text)
                 if new == text or new in tried:
                     continue
-                tried[new] = size = self.length(new, only)[0]
-                cost = step.cost
+                tried.add(new)
+                size, cost = self.length(new), step.cost
                 if step.right != "utf-8":
                     # a letter for a letter: the old text reads as words as well, so each kind of exchange must earn its keep
                     swaps = {(a, b) for a, b in zip(text, new) if a != b}

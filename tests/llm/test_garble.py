@@ -58,3 +58,8 @@ def test_frame(spark, mender):
 def test_no_sentences_to_train_on():
     assert garble.Mender(garble.fit({})).mend("fÃ¼r")[0] in ("für", "fÃ¼r")
     assert garble.Mender(garble.fit({"de": ["kurz"]})).mend("plain") == ("plain", None)
+
+
+def test_every_voted_step_is_described_under_all_languages(mender):
+    assert mender.mend("die wir bis Montag. wir ⁿber È źródło") == ("die wir bis Montag. wir über È źródło", "cp1252 read as cp437")
+    assert mender.mend("è ù ц╢ w wstrzymana. przez razie") == ("è ù ô w wstrzymana. przez razie", "utf-8 read as koi8_r")
