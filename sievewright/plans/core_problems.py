@@ -61,6 +61,16 @@ def p5_payments(spark: SparkSession, at: str) -> DataFrame:
     return nested.payments(nested.ubl_children(_table(spark, at, "ubl_record"))).select(*nested.SUPER, "payment_id", "iban")
 
 
+def p5_lines_whole(spark: SparkSession, at: str) -> DataFrame:
+    """The typed table of lines with all its attributes, the tax ones too, and the variant of each line."""
+    return nested.lines(_children(spark, at)).drop("parent_kind", "parent_path")
+
+
+def p5_payments_whole(spark: SparkSession, at: str) -> DataFrame:
+    """The typed table of payment means with all its attributes, the code of the means too, and the variant of each."""
+    return nested.payments(nested.ubl_children(_table(spark, at, "ubl_record"))).drop("parent_kind", "parent_path")
+
+
 def p5_charges(spark: SparkSession, at: str) -> DataFrame:
     """Typed table of line charges with the line they belong to."""
     return nested.charges(nested.ubl_children(_table(spark, at, "ubl_record"))).select(*nested.SUPER, "parent_path", "is_charge", "amount", "reason")
@@ -71,7 +81,7 @@ def p5_variants(spark: SparkSession, at: str) -> DataFrame:
     return _children(spark, at).groupBy("origin", "child_kind", "variant").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_entries, p4_tombstones, p5_found, p5_parties, p5_lines, p5_payments, p5_charges, p5_variants)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_entries, p4_tombstones, p5_found, p5_parties, p5_lines, p5_payments, p5_lines_whole, p5_payments_whole, p5_charges, p5_variants)}
 
 _CHANGES = """
 WITH once AS (

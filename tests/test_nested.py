@@ -3,6 +3,7 @@ import json
 from pyspark.sql import Row
 
 from sievewright.operators import nested
+from sievewright.plans import core_problems
 
 
 def kids(spark, payloads):
@@ -42,3 +43,23 @@ def test_invoices(spark):
     out = nested.invoice_children(spark.createDataFrame(rows, schema))
     assert sorted((r["record_id"], r["child_kind"], r["child_path"]) for r in out.collect()) == [(1, "line", "3"), (1, "seller", ""), (2, "buyer", "")]
     assert nested.invoice_children(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_whole_typed_tables_keep_tax_and_means(spark, data):
+    held = {"tax_category": 0, "tax_percent": 0, "means_code": 0}
+    for r in {r["raw_id"]: r["payload"] for r in spark.read.parquet(f"{data}/ubl_record.parquet").collect()}.values():
+        try:
+            doc = json.loads(r)
+        except (TypeError, ValueError):
+            continue
+        many = lambda x: x if isinstance(x, list) else [x]
+        for x in many(doc.get("InvoiceLine") or doc.get("CreditNoteLine") or []):
+            tax = ((x or {}).get("Item") or {}).get("ClassifiedTaxCategory") or {}
+            held["tax_category"] += bool(tax.get("ID"))
+            held["tax_percent"] += bool(tax.get("Percent"))
+        for x in many(doc.get("PaymentMeans") or []):
+            held["means_code"] += bool((x or {}).get("PaymentMeansCode"))
+    lines, payments = core_problems.QUERIES["p5_lines_whole"](spark, data), core_problems.QUERIES["p5_payments_whole"](spark, data)
+    got = {c: df.filter(f"{c} <> ''").count() for df, c in ((lines, "tax_category"), (lines, "tax_percent"), (payments, "means_code"))}
+    assert got == held and any(held.values())
+    assert lines.count() == core_problems.p5_lines(spark, data).count() and payments.count() == core_problems.p5_payments(spark, data).count()
