@@ -321,6 +321,12 @@ def sanitize_filename(spark: SparkSession, at: str) -> DataFrame:
     return n.select("msg_id", "att_index", text.sanitize_filename(F.col("bad"), "attachment").alias("safe"))
 
 
+@_query()
+def sanitize_filename_every(spark: SparkSession, at: str) -> DataFrame:
+    """Safe file names of all attachments, those beyond ASCII too, which are cut by bytes between characters."""
+    return _names(spark, at).select("msg_id", "att_index", text.sanitize_filename(F.col("bad"), "attachment").alias("safe"))
+
+
 @_query(rf"SELECT msg_id, att_index, CASE WHEN length(sha256) >= 8 THEN CASE WHEN regexp_matches(filename, '(?s)^.+\.[^.]*$') THEN regexp_replace(filename, '(?s)^(.+)(\.[^.]*)$', '\1-' || left(sha256, 8) || '\2') ELSE filename || '-' || left(sha256, 8) END ELSE filename END AS name FROM {_NAMES}")
 def hash_suffix(spark: SparkSession, at: str) -> DataFrame:
     """File names with a short hash."""

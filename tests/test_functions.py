@@ -1,3 +1,4 @@
+import re
 import zlib
 from datetime import UTC, datetime
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from sievewright.functions import kinds, screening, text
 from sievewright.functions.re2 import to_java
 from sievewright.operators import invoices, memo
-from sievewright.plans.catalog import PHRASES
+from sievewright.plans.catalog import PHRASES, QUERIES
 
 
 def one(spark, value, f, kind="string"):
@@ -131,3 +132,21 @@ def test_invoice_behind_a_long_prolog(spark):
         assert sorted(map(tuple, got)) == [(i, "R1") for i in range(len(prologs))]
     for other in (b"<!-- <Invoice> ", b"<Order><Invoice/></Order>", b"<!-- " + b"x" * 70_000 + b"--><Order><Invoice/></Order>", b"< >", b"<"):
         assert invoices.xml_in_pdf(b"stream\n" + other + b"\nendstream") is None
+
+
+def test_safe_names_of_every_attachment(spark, tmp_path):
+    names = ["plain.pdf", "Rechnung für März.pdf", "ü" * 90 + ".pdf", "a" + "漢" * 60 + ".xml", "😀" * 50, "x." + "é" * 30, "ж" * 80 + "." + "y" * 30, "", None]
+    rows = [(m, [(i, n, "ab" * 32) for i in range(2)]) for m, n in enumerate(names)]
+    spark.createDataFrame(rows, "msg_id bigint, attachments array<struct<att_index:int,filename:string,sha256:string>>").write.parquet(f"{tmp_path}/mail_parsed.parquet")
+
+    def safe(name, i):
+        if name is None:
+            return "attachment"
+        n = re.sub(r"[\x00-\x1f\x7f]", "", re.split(r"[/\\]", f"../x\\y/ .{name}?. " if i % 2 == 0 else "n" * 160 + ".tar" + name)[-1])
+        n = re.sub(r'[:*?"<>|]', "_", n).strip(" .")
+        ext = m[1] if (m := re.fullmatch(r"(?s).+(\.[^.]*)", n)) and len(m[1].encode()) <= 20 else ""
+        return n if len(n.encode()) <= 150 else n.encode()[: 150 - len(ext.encode())].decode("utf-8", "ignore") + ext
+
+    got = {(r["msg_id"], r["att_index"]): r["safe"] for r in QUERIES["sanitize_filename_every"](spark, str(tmp_path)).collect()}
+    assert got == {(m, i): safe(n, i) for m, n in enumerate(names) for i in range(2)}
+    assert all(len(s.encode()) <= 150 for s in got.values())
