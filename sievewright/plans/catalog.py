@@ -210,6 +210,13 @@ def chunk_windows(spark: SparkSession, at: str) -> DataFrame:
     return w.select("doc_id", F.col("w.start").cast("bigint").alias("start"), F.col("w.window").alias("win"))
 
 
+@_query("""SELECT doc_id, s AS start, substring(text, s + 1, 400) AS win FROM (SELECT doc_id, text, unnest(list_filter(range(0, length(text), 320), lambda s: s = 0 OR s + 80 < length(text))) AS s FROM documents)""")
+def chunk_windows_400(spark: SparkSession, at: str) -> DataFrame:
+    """Sliding windows of 400 characters that overlap by 80."""
+    w = _table(spark, at, "documents").select("doc_id", F.explode(text.windows(F.col("text"), 400, 80)).alias("w"))
+    return w.select("doc_id", F.col("w.start").cast("bigint").alias("start"), F.col("w.window").alias("win"))
+
+
 _TOKENS = r"list_filter(regexp_split_to_array(text, '[ \t\n\r\f]+'), lambda x: x <> '')"
 
 

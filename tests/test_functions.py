@@ -150,3 +150,10 @@ def test_safe_names_of_every_attachment(spark, tmp_path):
     got = {(r["msg_id"], r["att_index"]): r["safe"] for r in QUERIES["sanitize_filename_every"](spark, str(tmp_path)).collect()}
     assert got == {(m, i): safe(n, i) for m, n in enumerate(names) for i in range(2)}
     assert all(len(s.encode()) <= 150 for s in got.values())
+
+
+def test_short_windows_cover_every_text(spark, data):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect() if r["text"]}
+    want = {(d, s, t[s : s + 400]) for d, t in texts.items() for s in range(0, len(t), 320) if s == 0 or s + 80 < len(t)}
+    got = [tuple(r) for r in QUERIES["chunk_windows_400"](spark, data).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
