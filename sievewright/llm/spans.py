@@ -2,12 +2,15 @@
 
 A stretch of ``least`` characters contains, wherever it lies, at least one *anchor*: a window of ``WINDOW``
 characters whose hash is the smallest among its neighbours, so that two equal stretches have the same anchors at the same
-places. A first pass counts anchors in a count-min sketch per partition; the sketches are merged and can only
-overestimate. A second pass keeps the anchors estimated to repeat, which loses none, and groups them exactly, with the
-characters around them: every stretch of ``least`` characters around an anchor lies within its *context*. Equal
-contexts collapse to one class before anything is compared, so that copies of a text cost no pairs. Within a group of
-few classes the common extensions are compared directly; in a group of many (a passage pasted into many different texts)
-every stretch around the anchor is hashed and grouped, which is exact as well and spreads over all tasks.
+places. A first pass lists the anchors; a window that one part of the table alone has more than ``FEW`` times, in several
+records, is known to repeat and is sent on once for its part, so that no hash is frequent among what is shuffled. The hashes
+go to blocks by their value, as many blocks as there are anchors for, each counts its own in a count-min sketch of
+cells in proportion, which can only overestimate, and groups what it estimates repeated exactly. No sketch is
+held as a whole anywhere, so that it has no ceiling. The places found go back to their texts, and the second pass cuts the
+characters around them: every stretch of ``least`` characters around an anchor lies within its *context*. Within a group of
+few members the common extensions are compared directly; in a group of many (a passage pasted into many different texts)
+equal contexts collapse to one class and every stretch around the anchor is hashed and grouped, which is exact as well and
+spreads over all tasks.
 """
 
 from __future__ import annotations
@@ -26,15 +29,14 @@ from pyspark.sql import functions as F
 from sievewright.llm.arrowtext import code_points, slices
 from sievewright.staging import written
 
-#: Classes of contexts in a group up to which they are compared with one another; beyond, stretches are hashed.
+#: Members of a group up to which they are compared with one another; beyond, stretches are hashed.
 FEW = 48
-#: Sketch: cells per row are a power of two near four per anchor, within these bounds; two bits a cell, two rows.
-LEAST_BITS, MOST_BITS = 16, 26
+#: Cells of a block's sketch per anchor in it, at least; two bits a cell, two rows.
+CELLS = 4
+#: Anchors that one block counts, about, and that one part of the table holds before it sends them on.
+BLOCK, PART = 1 << 20, 1 << 20
 #: Texts on which the dictionary that packs contexts is trained; it only saves shuffled bytes.
 SAMPLE_TEXTS = 400
-#: Bytes of a block of the sketch, the unit in which partitions' sketches are merged.
-PIECE = 1 << 16
-
 _rng = np.random.default_rng(20_240_229)
 _BASE = np.uint64(int(_rng.integers(1 << 62)) * 2 + 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -155,47 +157,82 @@ def repeated(packed: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
     return many(a) & many(b)
 
 
-def merged_sketch(hashes: DataFrame, bits: int) -> bytes:
-    """The merged sketch of a column ``h``, packed: 2**(bits - 1) bytes at most, whatever the data.
+def _listed(least: int):  # noqa: ANN202
+    """The map that lists anchors: (h, doc_id, pos, crowd).
 
-    Each partition fills one sketch and sends the blocks of it that aren't empty; blocks with one number are added up.
+    ``crowd`` marks members of a window that their part has more than ``FEW`` times in several records; such a window is
+    also listed once without a record, for those who have it elsewhere.
     """
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Sketch(bits)
-        for b in batches:
-            s.add(b.column(0).to_numpy().view(np.uint64))
-        p = s.packed()
-        size = min(PIECE, len(p))
-        used = np.flatnonzero(p.reshape(-1, size).any(axis=1))
-        for i in used:
-            yield pa.RecordBatch.from_arrays([pa.array([int(i)], pa.int32()), pa.array([p[i * size : (i + 1) * size].tobytes()], pa.binary())], names=["piece", "cells"])
-
-    def add(a: bytes, b: bytes) -> bytes:
-        x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-        out = np.zeros(len(x), np.uint8)
-        for i in (0, 2, 4, 6):
-            out |= np.minimum((x >> i & 3) + (y >> i & 3), 2) << i
-        return out.tobytes()
-
-    @F.pandas_udf("binary")
-    def merge(cells: pd.Series) -> bytes:
-        first, *rest = cells
-        for c in rest:
-            first = add(first, c)
-        return first
-
-    # partitions are few: each sends up to a whole sketch
-    parts = hashes.select("h").coalesce(8).mapInArrow(fill, "piece int, cells binary")
-    size = min(PIECE, 1 << (bits - 1))
-    out = np.zeros(1 << (bits - 1), np.uint8)
-    for r in parts.groupBy("piece").agg(merge("cells").alias("cells")).toLocalIterator():
-        out[r["piece"] * size : (r["piece"] + 1) * size] = np.frombuffer(r["cells"], np.uint8)
-    return out.tobytes()
+
+    def part(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, doc, pos = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(h, kind="stable")
+        first = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]]) if len(h) else np.zeros(0, np.int64)
+        n = np.diff(np.r_[first, len(h)])
+        by = doc[order]
+        hot = (n > FEW) & (np.minimum.reduceat(by, first) != np.maximum.reduceat(by, first)) if len(h) else np.zeros(0, bool)
+        crowd = np.zeros(len(h), bool)
+        crowd[order] = np.repeat(hot, n)
+        extra = h[order][first[hot]]
+        none = np.r_[np.zeros(len(h), bool), np.ones(len(extra), bool)]
+        zero = np.zeros(len(extra), np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[h, extra].view(np.int64)), pa.array(np.r_[doc, zero], mask=none), pa.array(np.r_[pos, zero].astype(np.int32), mask=none), pa.array(np.r_[crowd, ~zero.astype(bool)])],
+            names=["h", "doc_id", "pos", "crowd"],
+        )
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for ids, points, starts in _texts(batches):
+            at, h = anchors(points, starts, least)
+            row = np.searchsorted(starts, at, side="right") - 1
+            held.append((h, ids[row], at - starts[row]))
+            n += len(h)
+            if n >= PART:
+                yield part(held)
+                held, n = [], 0
+        if n:
+            yield part(held)
+
+    return rows
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One block of the sketch: (doc_id, place) of its anchors that more than one record has; place is 2 * pos + 1 in a group of more than ``FEW``."""
+    whole = pa.Table.from_batches(list(batches), pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())]))
+    h = whole["h"].to_numpy().view(np.uint64)
+    alone = whole["doc_id"].is_null().to_numpy()
+    doc, pos = (whole[c].fill_null(0).to_numpy() for c in ("doc_id", "pos"))
+    sketch = Sketch(max(10, (CELLS * len(h)).bit_length()))
+    sketch.add(np.r_[h, h[alone]])
+    some = repeated(sketch.packed(), sketch.bits, h)
+    h, alone, doc, pos = (x[some] for x in (h, alone, doc, pos))
+    if not len(h):
+        return
+    order = np.argsort(h, kind="stable")
+    h, alone, doc, pos = (x[order] for x in (h, alone, doc, pos))
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    n = np.diff(np.r_[first, len(h)])
+    crowd = np.maximum.reduceat(alone, first)
+    shared = crowd | (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first))
+    out = np.repeat(shared, n) & ~alone
+    place = 2 * pos.astype(np.int64) + np.repeat(crowd | (n > FEW), n)
+    yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(place[out])], names=["doc_id", "place"])
+
+
+def repeated_places(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, places): where each record has anchors that another record has as well, by a count-min sketch in blocks."""
+    found = written(docs.mapInArrow(_listed(least), "h bigint, doc_id bigint, pos int, crowd boolean"), "anchors")
+    n, cores = found.count(), docs.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // BLOCK), min(cores, -(-n // (BLOCK >> 4))))
+    tested = found.filter("doc_id IS NULL OR NOT crowd").select("h", "doc_id", "pos").repartition(blocks, "h").mapInArrow(_counted, "doc_id bigint, place bigint")
+    known = found.filter("doc_id IS NOT NULL AND crowd").select("doc_id", (F.col("pos").cast("bigint") * 2 + 1).alias("place"))
+    return tested.unionByName(known).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
 
 
 def _dictionary(docs: DataFrame) -> bytes:
-    """A zstandard dictionary from a bounded sample; empty if there is too little to train on."""
-    texts = [r["text"][:20_000].encode("utf-8", "surrogatepass") for r in docs.filter("text IS NOT NULL AND text <> ''").limit(SAMPLE_TEXTS).collect()]
+    """A zstandard dictionary from a bounded sample, beginnings of a few texts; empty if there is too little to train on."""
+    texts = [r["text"].encode("utf-8", "surrogatepass") for r in docs.filter("text IS NOT NULL AND text <> ''").select(F.substring("text", 1, 20_000).alias("text")).limit(SAMPLE_TEXTS).collect()]
     try:
         return zstandard.train_dictionary(64 << 10, [t[i : i + 400] for t in texts for i in range(0, len(t), 400)]).as_bytes()
     except zstandard.ZstdError:
@@ -264,61 +301,63 @@ def shared_spans(documents: DataFrame, least: int = 300, doc_id: str = "doc_id",
     """
     k, w = sizes(least)
     reach = least - k
-    docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, points, starts in _texts(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(anchors(points, starts, least)[1].view(np.int64))], names=["h"])
-
-    found = written(docs.mapInArrow(hashed, "h bigint"), "anchors")
-    bits = min(MOST_BITS, max(LEAST_BITS, int(found.count() * 4).bit_length()))
-    sketch = docs.sparkSession.sparkContext.broadcast(merged_sketch(found, bits))
+    docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter(F.length("text") >= least)
+    places = repeated_places(docs, least)
     dictionary = _dictionary(docs)
 
     def around_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = np.frombuffer(sketch.value, np.uint8)
         pack = _packer(dictionary).compress
-        for ids, points, starts in _texts(batches):
-            at, h = anchors(points, starts, least)
-            at = at[repeated(packed, bits, h)]
-            row = np.searchsorted(starts, at, side="right") - 1
-            a, z = np.maximum(at - reach, starts[row]), np.minimum(at + k + reach, starts[row + 1])
-            raw = points.astype("<u4").tobytes()
-            cut = lambda i, j: raw[4 * i : 4 * j].decode("utf-32-le", "surrogatepass")
-            left = (at - a).astype(np.int32)
-            around_text = [pack((cut(i, p) + cut(p + k, j)).encode("utf-8", "surrogatepass")) for i, p, j in zip(a.tolist(), at.tolist(), z.tolist())]
-            group = [xxhash.xxh3_128_digest(raw[4 * i : 4 * (i + k)]) for i in at.tolist()]
-            around = [xxhash.xxh3_64_intdigest(raw[4 * i : 4 * j]) - (1 << 63) ^ (p - i) for i, j, p in zip(a.tolist(), z.tolist(), at.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(group, pa.binary()), pa.array(around, pa.int64()), pa.array(ids[row]), pa.array((at - starts[row]).astype(np.int32)), pa.array(left), pa.array(around_text, pa.binary())],
-                names=["grp", "ctx", "doc_id", "pos", "n_left", "around"],
-            )
-
-    windows = written(docs.mapInArrow(around_repeated, "grp binary, ctx bigint, doc_id bigint, pos int, n_left int, around binary"), "windows")
-    classes = windows.groupBy("grp", "ctx").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("n_left").alias("n_left"), F.first("around").alias("around"))
-    # counted without the contexts, which then move only for groups that more than one record is in
-    narrow = windows.groupBy("grp", "ctx").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    counted = narrow.groupBy("grp").agg(F.count("*").alias("n"), F.min("low").alias("lowest"), F.max("high").alias("highest")).filter("lowest <> highest")
-    classes = written(classes.join(counted.select("grp", "n"), "grp"), "classes")
+        for whole in batches:
+            for i, j in slices(pa.compute.binary_length(whole.column(1)).to_numpy(zero_copy_only=False)):
+                b = whole.slice(i, j - i)
+                points, starts = code_points(b.column(1))
+                place = pa.compute.list_flatten(b.column(2)).to_numpy()
+                row = np.repeat(np.arange(len(b)), pa.compute.list_value_length(b.column(2)).to_numpy(zero_copy_only=False))
+                at = starts[row] + (place >> 1)
+                # rows of one id may have different texts: places of the others are windows too, unless they lie outside
+                inside = at + k <= starts[row + 1]
+                at, row, many = at[inside], row[inside], (place[inside] & 1).astype(bool)
+                a, z = np.maximum(at - reach, starts[row]), np.minimum(at + k + reach, starts[row + 1])
+                raw = points.astype("<u4").tobytes()
+                cut = lambda i, j: raw[4 * i : 4 * j].decode("utf-32-le", "surrogatepass")  # noqa: B023, E731
+                around_text = [pack((cut(i, p) + cut(p + k, j)).encode("utf-8", "surrogatepass")) for i, p, j in zip(a.tolist(), at.tolist(), z.tolist())]
+                group = [xxhash.xxh3_128_digest(raw[4 * i : 4 * (i + k)]) for i in at.tolist()]
+                around = [xxhash.xxh3_64_intdigest(raw[4 * i : 4 * j]) - (1 << 63) ^ (p - i) for i, j, p in zip(a.tolist(), z.tolist(), at.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(group, pa.binary()), pa.array(around, pa.int64()), b.column(0).take(pa.array(row)), pa.array((at - starts[row]).astype(np.int32)), pa.array((at - a).astype(np.int32)), pa.array(around_text, pa.binary()), pa.array(many)],
+                    names=["grp", "ctx", "doc_id", "pos", "n_left", "around", "many"],
+                )
+
+    at_places = docs.join(places.hint("shuffle_hash"), "doc_id")
+    windows = written(at_places.mapInArrow(around_repeated, "grp binary, ctx bigint, doc_id bigint, pos int, n_left int, around binary, many boolean"), "windows")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = _unpacker(dictionary)
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for grp, members in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for c in members:
-                    c["left"], c["right"] = unpack(c["around"], c["n_left"])
-                for c, e in zip(members, _extents(members, least, k)):
-                    if e:
-                        for col, v in zip(out, (grp, c["ctx"], *e)):
+            out: tuple[list, ...] = ([], [], [])
+            for members in b.column(0).to_pylist():
+                classes: dict[int, dict] = {}
+                for m in members:
+                    c = classes.get(m["ctx"])
+                    if c is None:
+                        left, right = unpack(m["around"], m["n_left"])
+                        classes[m["ctx"]] = {"low": m["doc_id"], "high": m["doc_id"], "left": left, "right": right}
+                    else:
+                        c["low"], c["high"] = min(c["low"], m["doc_id"]), max(c["high"], m["doc_id"])
+                reached = dict(zip(classes, _extents(list(classes.values()), least, k)))
+                for m in members:
+                    if e := reached[m["ctx"]]:
+                        for col, v in zip(out, (m["doc_id"], m["pos"] - e[0], m["pos"] + k + e[1])):
                             col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], names=["grp", "ctx", "l", "r"])
-
-    few = classes.filter(F.col("n") <= FEW).groupBy("grp").agg(F.collect_list(F.struct("ctx", "low", "high", "n_left", "around")).alias("members")).mapInArrow(compare, "grp binary, ctx bigint, l int, r int")
-    many = _extents_of_many(classes.filter(F.col("n") > FEW), least, k, dictionary)
-    extents = few.unionByName(many)
-    hits = windows.select("grp", "ctx", "doc_id", "pos").join(extents, ["grp", "ctx"]).select("doc_id", (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + k + F.col("r")).alias("e"))
-    return _runs(hits)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], names=["doc_id", "s", "e"])
+
+    # groups of FEW members at most, so each list is short however frequent a passage is
+    few = windows.filter(~F.col("many")).groupBy("grp").agg(F.collect_set(F.struct("ctx", "doc_id", "pos", "n_left", "around")).alias("members")).select("members").mapInArrow(compare, "doc_id bigint, s int, e int")
+    crowded = windows.filter("many")
+    classes = crowded.groupBy("grp", "ctx").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("n_left").alias("n_left"), F.first("around").alias("around"))
+    extents = _extents_of_many(classes, least, k, dictionary)
+    hits = crowded.select("grp", "ctx", "doc_id", "pos").join(extents, ["grp", "ctx"]).select("doc_id", (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + k + F.col("r")).alias("e"))
+    return _runs(few.unionByName(hits))
 
 
 def _extents_of_many(classes: DataFrame, least: int, k: int, dictionary: bytes) -> DataFrame:
