@@ -6,6 +6,7 @@ checks every sentence, and only sentences that the vote gives to their label sta
 
 from __future__ import annotations
 
+import locale
 import math
 import re
 from collections import Counter
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 SAMPLE_TEXTS = 4_000
 SAMPLE_CHARS = 240_000
 
-# The eight languages with their usual names: ISO 639-1, 639-2 and English and own names.
+# Eight languages with their usual names: ISO 639-1, 639-2 and English and own names.
 NAMES = {
     "de": "de deu ger german deutsch",
     "en": "en eng english",
@@ -28,8 +29,25 @@ NAMES = {
     "pl": "pl pol polish polski",
     "ru": "ru rus russian русский",
 }
-LANGUAGES = tuple(NAMES)
-CODE_OF = {name: code for code, names in NAMES.items() for name in names.split()}
+# names under which the platform's locales know no language
+_NO_LANGUAGE = {"univ", "universal", "cextend"}
+
+
+def _codes() -> dict[str, str]:
+    """Name -> code: the names above, and for all other languages the codes and English names of the platform's locale aliases."""
+    out: dict[str, str] = {}
+    for alias, target in locale.locale_alias.items():
+        code = target.split("_")[0].split(".")[0].lower()
+        if len(code) == 2 and code.isalpha():
+            out.setdefault(code, code)
+            if alias.isalpha() and len(alias) > 3 and alias not in _NO_LANGUAGE:
+                out[alias] = code
+    return out | {name: code for code, names in NAMES.items() for name in names.split()}
+
+
+CODE_OF = _codes()
+#: Labelled texts below which a language gets no model: a lone one may be a slip.
+LEAST_TEXTS = 2
 
 WORD = re.compile(r"[^\W\d_]+")
 _SPLIT = re.compile(r"(?<=[.!?…:;])\s+(?=\S)|\n+")
@@ -70,7 +88,7 @@ def labelled_texts(documents: DataFrame, language: str, text: str, most_texts: i
     """
     row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in documents.dtypes if "map<" not in kind and "variant" not in kind])
     known = documents.select(label_column(F.col(language)).alias("code"), F.col(text).alias("text"), row.alias("h")).filter("code IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    counts = {r["code"]: r["count"] for r in known.groupBy("code").count().collect()}
+    counts = {r["code"]: r["count"] for r in known.groupBy("code").count().collect() if r["count"] >= LEAST_TEXTS}
     quotas = _quotas(counts, most_texts)
     if not quotas:
         return {}

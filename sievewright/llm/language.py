@@ -1,14 +1,16 @@
 """Languages of texts and of their passages, by cross-parsing.
 
-The words of labelled text of each language form a suffix automaton. A word, with the blanks around it, is parsed
-greedily into the longest pieces that the automaton knows: the worse the language, the more pieces. A sentence is given
-to the language that needs the fewest pieces per character, and the distance to the next language is its
-confidence. Words recur, so each worker parses a word once and adds up rows of a table afterwards.
+The running text of labelled sentences of each language forms a suffix automaton. A sentence is parsed greedily into the
+longest phrases, across words, that the automaton knows: the worse the language, the more phrases. A sentence is given
+to the language that needs the fewest phrases for its length, and the distance to the next language is its
+confidence.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,40 +24,41 @@ from sievewright.llm import garble, uniform
 from sievewright.llm.arrowtext import code_points, slices, strings
 from sievewright.llm.langdata import WORD, labelled_sentences
 
-#: A sentence has this many words at least, and the winner leads by this share of the next language's pieces and by this many.
-LEAST_WORDS, LEAST_LEAD, LEAST_PIECES = 4, 0.05, 2
+#: A sentence has this many words at least, and the winner leads by this share of the next language's bits and by so many.
+LEAST_WORDS, LEAST_LEAD, LEAST_BITS = 3, 0.02, 6
 #: Words that a worker remembers.
 REMEMBERED = 400_000
+_BITS = 28
+_STATE = (1 << _BITS) - 1
+_PER_BIT = 16
 
 _QUOTE = re.compile(r"^[\s>|»]*[>|»]\s?")
 _HEADER = re.compile(r"^\s*\*?[^\W\d_][\w .’'-]{0,24}:\*?(\s|$)")
 # what ends with the dot of an abbreviation, a company's form or "Tel." ends no sentence by it
-_END = re.compile(r"(?<!\b[Tt]el)(?<![^\W\d_]\.[^\W\d_])(?<![^\W\d_]\.[^\W\d_][^\W\d_])[.!?…][\"'“”»)\]]*$")
+_END = re.compile(r"(?<!\b[Tt]el)(?<!\bSp)(?<!\s[^\W\d_](?=\.))(?<![^\W\d_]\.[^\W\d_])(?<![^\W\d_]\.[^\W\d_][^\W\d_])[.!?…][\"'“”»)\]]*$")
 _ODD = re.compile(r"[^\x00-\x7f]")
 _DISGUISED = re.compile("[\u0300-\u036f\xad\u200b-\u200f\u2000-\u200a\u202f\u2060-\u2064\u3000\ufeff\uff01-\uff5e\U0001d400-\U0001d7ff]")
-_CUT = re.compile(r"(?<!\bTel\.)(?<![^\W\d_]\.[^\W\d_][^\W\d_]\.)(?<=[^\W\d_]{2}[.!?…])[\"'“”»)\]]*\s+|(?<=[\d€$)%][.!?…])[\"'“”»)\]]*\s+|(?<=[.!?…][.!?…])\s+")
+_CUT = re.compile(r"(?<!\bTel\.)(?<!\bSp\.)(?<![^\W\d_]\.[^\W\d_][^\W\d_]\.)(?<=[^\W\d_]{2}[.!?…])[\"'“”»)\]]*\s+|(?<=[\d€$)%][.!?…])[\"'“”»)\]]*\s+|(?<=[.!?…][.!?…])\s+")
 
 
 class SuffixAutomaton:
-    """All substrings of a text, built online; ``edges[state << 8 | code]`` is the next state."""
+    """All substrings of a text, built online; ``edges[state][code point]`` is the next state."""
 
-    def __init__(self, codes: bytes) -> None:
-        edges: dict[int, int] = {}
-        out: list[list[int]] = [[]]
+    def __init__(self, text: str) -> None:
+        edges: list[dict[int, int]] = [{}]
         link, length = [-1], [0]
         last = 0
-        for c in codes:
+        for c in map(ord, text):
             cur = len(link)
             link.append(0)
             length.append(length[last] + 1)
-            out.append([])
+            edges.append({})
             p = last
-            while p >= 0 and p << 8 | c not in edges:
-                edges[p << 8 | c] = cur
-                out[p].append(c)
+            while p >= 0 and c not in edges[p]:
+                edges[p][c] = cur
                 p = link[p]
             if p >= 0:
-                q = edges[p << 8 | c]
+                q = edges[p][c]
                 if length[p] + 1 == length[q]:
                     link[cur] = q
                 else:
@@ -63,42 +66,52 @@ class SuffixAutomaton:
                     own = len(link)
                     link.append(link[q])
                     length.append(length[p] + 1)
-                    out.append(list(out[q]))
-                    for x in out[q]:
-                        edges[own << 8 | x] = edges[q << 8 | x]
-                    while p >= 0 and edges.get(p << 8 | c) == q:
-                        edges[p << 8 | c] = own
+                    edges.append(dict(edges[q]))
+                    while p >= 0 and edges[p].get(c) == q:
+                        edges[p][c] = own
                         p = link[p]
                     link[q] = link[cur] = own
             last = cur
         self.edges = edges
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.fromiter(self.edges.keys(), np.int64, len(self.edges)), np.fromiter(self.edges.values(), np.int32, len(self.edges))
+        # a state's substrings end wherever those of the states that link to it end; own places count once
+        self.times = [0] * len(link)
+        state = 0
+        for c in map(ord, text):
+            state = edges[state][c]
+            self.times[state] += 1
+        for p in sorted(range(1, len(link)), key=length.__getitem__, reverse=True):
+            self.times[link[p]] += self.times[p]
+        self.times[0] = len(text)
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first edge of each state, code points of the edges, ascending within a state, their next states, price of a phrase that ends in each state).
+
+        The price is the information in the choice of the phrase among all places of the text, in sixteenths of a bit.
+        """
+        size = np.fromiter(map(len, self.edges), np.int32, len(self.edges))
+        flat = np.array([x for e in self.edges for x in sorted(e.items())], np.int32).reshape(-1, 2)
+        price = np.round(_PER_BIT * np.log2((len(self.times) + 1) / np.maximum(self.times, 1))).astype(np.int32)
+        return np.concatenate(([0], np.cumsum(size))).astype(np.int32), flat[:, 0].copy(), flat[:, 1].copy(), price
 
 
 @dataclass
 class Model:
-    """Automata of the languages as arrays of edges, and the code of each character."""
+    """Automata of the languages as arrays of edges."""
 
     languages: list[str]
-    edges: list[tuple[np.ndarray, np.ndarray]]
-    code: dict[str, int]
+    edges: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     repair: garble.Model | None = None
 
 
+def running(sentence: str) -> str:
+    """What is parsed of a sentence: its words in small letters, one blank around each."""
+    return " ".join(["", *WORD.findall(sentence.lower()), ""])
+
+
 def fit(sentences: dict[str, list[str]]) -> Model:
-    """Automata of the words that occur twice or more in the sentences of a language."""
-    seen: Counter[str] = Counter()
-    words: dict[str, list[str]] = {}
-    for lang, own in sentences.items():
-        n = Counter(w for s in own for w in WORD.findall(s.lower()))
-        words[lang] = sorted(w for w, k in n.items() if k > 1) or sorted(n)
-        seen.update(ch for w in words[lang] for ch in w)
-    code = {" ": 1} | {ch: i + 2 for i, (ch, _) in enumerate(seen.most_common(253))}
-    languages = sorted(words)
-    text = lambda ws: bytes(code.get(ch, 0) for ch in " " + "  ".join(ws) + " ")
-    return Model(languages, [SuffixAutomaton(text(words[x])).arrays() for x in languages], code)
+    """Automata of the running text of each language; a sentence that repeats says nothing new and is taken once."""
+    texts = {x: "\n".join(dict.fromkeys(map(running, own))) for x, own in sorted(sentences.items())}
+    return Model(list(texts), [SuffixAutomaton(t).arrays() for t in texts.values()])
 
 
 def passages(text: str) -> list[str]:
@@ -130,68 +143,84 @@ def whole_sentences(text: str) -> list[str]:
 
 
 class Identifier:
-    """Scores words and sentences; one per Python worker."""
+    """Parses sentences under all languages; one per Python worker.
+
+    The parse is a walk through the automaton that starts anew at its root wherever no known text goes on. What a word does to
+    the walk depends on nothing but the state before it, so that each pair of state and word is walked once and remembered.
+    """
 
     def __init__(self, model: Model) -> None:
-        self.languages, self.code = model.languages, model.code
-        self.edges = [dict(zip(k.tolist(), v.tolist())) for k, v in model.edges]
-        self.index: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.languages)), np.float32)
-
-    def pieces(self, word: str, k: int) -> int:
-        """Into how many longest known pieces a word with its blanks falls under language number ``k``."""
-        get = self.edges[k].get
-        codes = [1, *(self.code.get(ch, 0) for ch in word), 1]
-        n, i, count = len(codes), 0, 0
-        while i < n:
-            state, j = 0, i
-            while j < n and (to := get(state << 8 | codes[j])) is not None:
-                state, j = to, j + 1
-            i = max(j, i + 1)
-            count += 1
-        return count
-
-    def row(self, word: str) -> int:
-        i = self.index.get(word)
-        if i is None:
-            if len(self.index) >= REMEMBERED:
-                self.index.clear()
-            i = self.index[word] = len(self.index)
-            if i >= len(self.table):
-                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-            self.table[i] = [self.pieces(word, k) for k in range(len(self.languages))]
-        return i
-
-    def scores(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(pieces per language, number of words) of each sentence; within a sentence the length normalises all alike."""
-        n = np.zeros(len(sentences), np.int64)
-        total = np.zeros((len(sentences), len(self.languages)), np.float32)
-        if len(self.index) > REMEMBERED // 2:  # never forget a word while its number is in use
-            self.index.clear()
-        rows: list[int] = []
-        for i, s in enumerate(sentences):
-            w = WORD.findall(s.lower())
-            n[i] = len(w)
-            rows += map(self.row, w)
-        if rows:
-            first = np.cumsum(n) - n
-            some = np.flatnonzero(n)
-            t = self.table[np.array(rows)]
-            # a word that no language knows as a whole is most likely a name, one that all know alike says nothing
-            t[(t.min(axis=1) > 1) | (t.min(axis=1) == t.max(axis=1))] = 0
-            total[some] = np.add.reduceat(t, first[some], axis=0)
-        return total, n
+        self.languages = model.languages
+        self.edges = [tuple(array("i", a.astype(np.int32).tobytes()) for a in e) for e in model.edges]
+        self.memory: list[dict[int, int]] = [{} for _ in self.languages]
+        self.words: dict[str, int] = {}
+        self.starts = [self._walk(k, 0, " ") & _STATE for k in range(len(self.languages))]
+        self.known: dict[str, tuple[str | None, float]] = {}
+
+    def _walk(self, k: int, state: int, text: str) -> int:
+        """The price of the phrases that end within ``text``, and the state after it, in one number."""
+        first, codes, to, price = self.edges[k]
+        paid = 0
+        for c in map(ord, text):
+            while True:
+                a, z = first[state], first[state + 1]
+                i = bisect_left(codes, c, a, z)
+                if i < z and codes[i] == c:
+                    state = to[i]
+                    break
+                if not state:  # a character that the language does not have is a phrase by itself, the dearest of all
+                    paid += _PER_BIT * len(price).bit_length()
+                    break
+                paid += price[state]
+                state = 0
+        return paid << _BITS | state
+
+    def prices(self, sentence: str) -> list[float]:
+        """Bits of the longest known phrases into which a sentence falls, under each language."""
+        if len(self.words) > REMEMBERED or sum(map(len, self.memory)) > 8 * REMEMBERED:
+            self.words.clear()
+            for m in self.memory:
+                m.clear()
+        ids = [(self.words.setdefault(w, len(self.words)) << _BITS, w) for w in WORD.findall(sentence.lower())]
+        out = []
+        for k, memory in enumerate(self.memory):
+            state, paid = self.starts[k], 0
+            get = memory.get
+            for i, w in ids:
+                v = get(i | state)
+                if v is None:
+                    v = memory[i | state] = self._walk(k, state, w + " ")
+                paid += v >> _BITS
+                state = v & _STATE
+            out.append((paid + self.edges[k][3][state]) / _PER_BIT)
+        return out
+
+    def verdict(self, sentence: str) -> tuple[str | None, float]:
+        """(language, confidence from 0 to 1) of a sentence; None if it is too short or no language leads.
+
+        Phrases are normalised to bits a character: a phrase that a language has often says less than a rare one, and any
+        says more in a longer text. The confidence is how much the next language needs beyond the winner.
+        """
+        got = self.known.get(sentence)
+        if got is None:
+            if len(self.known) > REMEMBERED // 8:
+                self.known.clear()
+            got = self.known[sentence] = self._verdict(sentence)
+        return got
+
+    def _verdict(self, sentence: str) -> tuple[str | None, float]:
+        n_words = len(WORD.findall(sentence))
+        if n_words < LEAST_WORDS or not self.languages:
+            return None, 0.0
+        bits = self.prices(sentence)
+        order = sorted(range(len(bits)), key=bits.__getitem__)
+        best, then = bits[order[0]], bits[order[min(1, len(bits) - 1)]]
+        lead = 1 - best / max(then, 1e-9)
+        sure = len(bits) == 1 or lead >= LEAST_LEAD and then - best >= LEAST_BITS
+        return (self.languages[order[0]] if sure else None), (1.0 if len(bits) == 1 else lead)
 
     def verdicts(self, sentences: list[str]) -> list[tuple[str | None, float]]:
-        """(language, confidence from 0 to 1) of each sentence; None if it is too short or no language leads."""
-        if not sentences:
-            return []
-        score, n = self.scores(sentences)
-        order = np.argsort(score, axis=1, kind="stable")
-        best = score[np.arange(len(score)), order[:, 0]]
-        next_best = score[np.arange(len(score)), order[:, min(1, score.shape[1] - 1)]]
-        lead = np.where(next_best > 0, 1 - best / np.maximum(next_best, 1e-9), 0.0)
-        return [(self.languages[o] if k >= LEAST_WORDS and x >= LEAST_LEAD and d >= LEAST_PIECES else None, float(x)) for o, x, k, d in zip(order[:, 0].tolist(), lead.tolist(), n.tolist(), (next_best - best).tolist())]
+        return [self.verdict(s) for s in sentences]
 
 
 SCHEMA = "lang string, confidence double, segments array<struct<segment_no:int,lang:string,confidence:double,n_sentences:int,n_chars:int>>"

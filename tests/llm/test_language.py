@@ -9,28 +9,69 @@ def model(spark, data):
 
 
 def test_automaton_knows_exactly_the_substrings():
-    text = bytes([1, 2, 1, 2, 3, 1, 1, 2])
-    edges = language.SuffixAutomaton(text).edges
+    text = "ababcaab"
+    a = language.SuffixAutomaton(text)
     subs = {text[i:j] for i in range(len(text)) for j in range(i + 1, len(text) + 1)}
 
-    def known(s):
+    def state(s):
         q = 0
         for c in s:
-            if (q := edges.get(q << 8 | c)) is None:
-                return False
-        return True
+            if (q := a.edges[q].get(ord(c))) is None:
+                return None
+        return q
 
     import itertools
 
     for n in range(1, 5):
-        for s in itertools.product((1, 2, 3, 4), repeat=n):
-            assert known(bytes(s)) == (bytes(s) in subs)
-
-
-def test_pieces():
-    m = language.fit({"a": ["der der die die"] * 2, "b": ["the the and and"] * 2})
-    i = language.Identifier(m)
-    assert i.pieces("der", 0) == 1 and i.pieces("der", 1) > 1 and i.pieces("the", 1) == 1
+        for s in map("".join, itertools.product("abcd", repeat=n)):
+            q = state(s)
+            assert (q is not None) == (s in subs)
+            if q is not None:
+                assert a.times[q] == sum(text.startswith(s, i) for i in range(len(text)))
+
+
+def greedy(text, known):
+    """Longest phrases of ``known``, by substring search."""
+    out, i = [], 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i : j + 1] in known:
+            j += 1
+        out.append(text[i:j])
+        i = j
+    return out
+
+
+def test_phrases_run_across_words():
+    import math
+
+    own = ["der Hund und die Katze und der Hund", "die Rechnung ist offen"]
+    m = language.fit({"a": own, "b": ["the dog and the cat sleep well"]})
+    who = language.Identifier(m)
+    known = "\n".join(map(language.running, own))
+    n_states = len(m.edges[0][0]) - 1
+    for s in ("und die Katze ist offen", "Hund Hund", "die Rechnung und der Hund", "offen der Katze"):
+        phrases = greedy(language.running(s), known)
+        assert any(" " in p.strip() for p in phrases) or not s.startswith("und")
+        times = [sum(known.startswith(p, i) for i in range(len(known))) for p in phrases]
+        assert who.prices(s)[0] == pytest.approx(sum(math.log2((n_states + 1) / n) for n in times), abs=0.05 * len(phrases))
+        assert who.prices(s) == who.prices(s)
+
+
+def test_three_words_are_decided(model):
+    who = language.Identifier(model)
+    got = [who.verdict(s)[0] for s in ("Wir warten noch.", "We still wait.", "Мы ещё ждём.")]
+    assert got == ["de", "en", "ru"]
+    assert who.verdict("")[0] is None and who.verdict("12 - 34")[0] is None
+
+
+def test_languages_beyond_the_eight(spark):
+    da = ["Vi venter stadig på jeres svar på den sidste faktura.", "Fakturaen er endnu ikke betalt, og vi beder om en hurtig løsning."]
+    en = ["We still wait for your answer to the last invoice.", "The invoice has not been paid yet and we ask for a quick solution."]
+    rows = [(i, c, t) for i in range(6) for c, ts in (("da-DK", da), ("en", en)) for t in ts]
+    m = language.fit_on(spark.createDataFrame(rows, "doc_id int, lang string, text string"))
+    assert m.languages == ["da", "en"]
+    assert language.Identifier(m).verdict("Vi beder om jeres svar på fakturaen.")[0] == "da"
 
 
 @pytest.mark.parametrize(("label", "code"), [("de-DE", "de"), ("DE", "de"), ("ger", "de"), ("German", "de"), ("en_US", "en"), ("nl-BE", "nl"), ("und", None), ("??", None), ("", None), (None, None), ("x-none", None), ("unknown", None), (" fr ", "fr")])
