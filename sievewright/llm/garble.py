@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 import zstandard
@@ -91,6 +91,13 @@ class Model:
     dictionaries: dict[str, bytes]
     letters: dict[str, set[str]]
     words: set[str]
+    hands: Mender | None = field(default=None, repr=False, compare=False)
+
+    def at_hand(self) -> Mender:
+        """What applies the model in a Python worker; tasks that follow one another there share what it remembers."""
+        if self.hands is None:
+            self.hands = Mender(self)
+        return self.hands
 
 
 def fit(sentences: dict[str, list[str]], dictionary_bytes: int = DICTIONARY_BYTES) -> Model:
@@ -309,7 +316,7 @@ def restore(df: DataFrame, column: str, model: Model, result: str = "restored",
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mender = Mender(shared.value)
+        mender = shared.value.at_hand()
         for b in batches:
             out = [(None, None) if t is None else mender.mend(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in out], pa.string()), pa.array([c for _, c in out], pa.string())], names=[*kept, result, chain])

@@ -13,7 +13,7 @@ from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ REMEMBERED = 400_000
 _BITS = 28
 _STATE = (1 << _BITS) - 1
 _PER_BIT = 16
+_FIELD = 48
+_PRICE = (1 << _FIELD) - 1
 
 _QUOTE = re.compile(r"^[\s>|»]*[>|»]\s?")
 _HEADER = re.compile(r"^\s*\*?[^\W\d_][\w .’'-]{0,24}:\*?(\s|$)")
@@ -38,7 +40,9 @@ _HEADER = re.compile(r"^\s*\*?[^\W\d_][\w .’'-]{0,24}:\*?(\s|$)")
 _END = re.compile(r"(?<!\b[Tt]el)(?<!\bSp)(?<!\s[^\W\d_](?=\.))(?<![^\W\d_]\.[^\W\d_])(?<![^\W\d_]\.[^\W\d_][^\W\d_])[.!?…][\"'“”»)\]]*$")
 _ODD = re.compile(r"[^\x00-\x7f]")
 _DISGUISED = re.compile("[\u0300-\u036f\xad\u200b-\u200f\u2000-\u200a\u202f\u2060-\u2064\u3000\ufeff\uff01-\uff5e\U0001d400-\U0001d7ff]")
-_CUT = re.compile(r"(?<!\bTel\.)(?<!\bSp\.)(?<![^\W\d_]\.[^\W\d_][^\W\d_]\.)(?<=[^\W\d_]{2}[.!?…])[\"'“”»)\]]*\s+|(?<=[\d€$)%][.!?…])[\"'“”»)\]]*\s+|(?<=[.!?…][.!?…])\s+")
+# where a passage may be cut, and what must stand up to the mark there
+_STOP = re.compile(r"[.!?…][\"'“”»)\]]*\s+")
+_CUT = re.compile(r"(?:(?<!\bTel\.)(?<!\bSp\.)(?<![^\W\d_]\.[^\W\d_][^\W\d_]\.)(?<=[^\W\d_]{2}[.!?…])|(?<=[\d€$)%][.!?…])|(?<=[.!?…][.!?…]))\Z")
 
 
 class SuffixAutomaton:
@@ -101,6 +105,13 @@ class Model:
     languages: list[str]
     edges: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     repair: garble.Model | None = None
+    hands: tuple[Identifier, garble.Mender | None] | None = field(default=None, repr=False, compare=False)
+
+    def at_hand(self) -> tuple[Identifier, garble.Mender | None]:
+        """What applies the model in a Python worker; tasks that follow one another there share what it remembers."""
+        if self.hands is None:
+            self.hands = Identifier(self), garble.Mender(self.repair) if self.repair else None
+        return self.hands
 
 
 def running(sentence: str) -> str:
@@ -130,13 +141,27 @@ def passages(text: str) -> list[str]:
     return [" ".join(p) for p in out if p]
 
 
+def _cut(passage: str) -> list[str]:
+    """A passage in pieces that end with a mark; the last may not."""
+    out, last = [], 0
+    for m in _STOP.finditer(passage):
+        i = m.start() + 1
+        if _CUT.search(passage[max(0, i - 6) : i]):
+            if i > last:
+                out.append(passage[last:i])
+            last = m.end()
+    if last < len(passage):
+        out.append(passage[last:])
+    return out
+
+
 def whole_sentences(text: str) -> list[str]:
     """Sentences that end as such; names, addresses and lines of contacts don't."""
     out = []
     for p in passages(text):
-        cut = [s for s in _CUT.split(p) if s]
+        cut = _cut(p)
         # the mark at the end of all but the last was seen when cutting
-        if cut and not _END.search(cut[-1]):
+        if cut and not _END.search(cut[-1][-60:]):
             cut.pop()
         out += cut
     return out
@@ -146,16 +171,49 @@ class Identifier:
     """Parses sentences under all languages; one per Python worker.
 
     The parse is a walk through the automaton that starts anew at its root wherever no known text goes on. What a word does to
-    the walk depends on nothing but the state before it, so that each pair of state and word is walked once and remembered.
+    the walk depends on nothing but the states before it, so that each pair of states and word is walked once and remembered.
     """
 
     def __init__(self, model: Model) -> None:
         self.languages = model.languages
         self.edges = [tuple(array("i", a.astype(np.int32).tobytes()) for a in e) for e in model.edges]
-        self.memory: list[dict[int, int]] = [{} for _ in self.languages]
-        self.words: dict[str, int] = {}
-        self.starts = [self._walk(k, 0, " ") & _STATE for k in range(len(self.languages))]
         self.known: dict[str, tuple[str | None, float]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start with empty memories: words, places (the states of all languages at once) and what a word does at a place."""
+        self.words: dict[str, int] = {}
+        self.memory: list[dict[int, int]] = [{} for _ in self.languages]
+        self.steps: dict[int, tuple[int, int]] = {}
+        self.place_of: dict[tuple[int, ...], int] = {}
+        self.places: list[tuple[int, ...]] = []
+        self.rest: dict[int, int] = {}
+        self._place(tuple(self._walk(k, 0, " ") & _STATE for k in range(len(self.languages))))
+
+    def _place(self, states: tuple[int, ...]) -> int:
+        i = self.place_of.setdefault(states, len(self.places))
+        if i == len(self.places):
+            self.places.append(states)
+        return i
+
+    def _rest(self, place: int) -> int:
+        """The prices of the phrases that are open at a place, side by side."""
+        got = self.rest.get(place)
+        if got is None:
+            got = self.rest[place] = sum(self.edges[k][3][q] << _FIELD * k for k, q in enumerate(self.places[place]))
+        return got
+
+    def _step(self, place: int, number: int, word: str) -> tuple[int, int]:
+        """(prices under all languages, side by side in one number, next place) of a word at a place."""
+        paid, states = 0, []
+        for k, state in enumerate(self.places[place]):
+            v = self.memory[k].get(number << _BITS | state)
+            if v is None:
+                v = self.memory[k][number << _BITS | state] = self._walk(k, state, word + " ")
+            paid += v >> _BITS << _FIELD * k
+            states.append(v & _STATE)
+        got = self.steps[number << _BITS | place] = (paid, self._place(tuple(states)))
+        return got
 
     def _walk(self, k: int, state: int, text: str) -> int:
         """The price of the phrases that end within ``text``, and the state after it, in one number."""
@@ -177,23 +235,16 @@ class Identifier:
 
     def prices(self, sentence: str) -> list[float]:
         """Bits of the longest known phrases into which a sentence falls, under each language."""
-        if len(self.words) > REMEMBERED or sum(map(len, self.memory)) > 8 * REMEMBERED:
-            self.words.clear()
-            for m in self.memory:
-                m.clear()
-        ids = [(self.words.setdefault(w, len(self.words)) << _BITS, w) for w in WORD.findall(sentence.lower())]
-        out = []
-        for k, memory in enumerate(self.memory):
-            state, paid = self.starts[k], 0
-            get = memory.get
-            for i, w in ids:
-                v = get(i | state)
-                if v is None:
-                    v = memory[i | state] = self._walk(k, state, w + " ")
-                paid += v >> _BITS
-                state = v & _STATE
-            out.append((paid + self.edges[k][3][state]) / _PER_BIT)
-        return out
+        if len(self.words) > REMEMBERED or len(self.steps) > 4 * REMEMBERED:
+            self._forget()
+        place, total = 0, 0
+        get, words = self.steps.get, self.words
+        for w in WORD.findall(sentence.lower()):
+            i = words.setdefault(w, len(words))
+            paid, place = get(i << _BITS | place) or self._step(place, i, w)
+            total += paid
+        total += self._rest(place)
+        return [(total >> _FIELD * k & _PRICE) / _PER_BIT for k in range(len(self.languages))]
 
     def verdict(self, sentence: str) -> tuple[str | None, float]:
         """(language, confidence from 0 to 1) of a sentence; None if it is too short or no language leads.
@@ -239,9 +290,7 @@ def identify(df: DataFrame, model: Model, key: str, body: str, subject: str | No
     columns = df.select(F.col(key).alias("key"), F.col(body).alias("body"), (F.col(subject) if subject else F.lit(None).cast("string")).alias("subject"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        who = Identifier(model)
-        mender = garble.Mender(model.repair) if model.repair else None
+        who, mender = shared.value.at_hand()
         segment = pa.struct([("segment_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("n_sentences", pa.int32()), ("n_chars", pa.int32())])
         for whole in batches:
             lengths = np.array([len(t or "") for t in whole.column(1).to_pylist()], np.int64)
