@@ -2,8 +2,9 @@
 
 Candidates are chains of steps "encode as the wrong code page, decode as the right one". The description length of a passage
 is its size under the best of the zstandard dictionaries, one per language, trained on clean sentences, plus an escape for
-every character that the language does not use. A chain is taken if the passage after it, together with the cost of the chain, is
-described in fewer bytes than before; otherwise the passage stays. Steps repeat, so text garbled twice is undone in two.
+every character that the language does not use. The chain is taken after which the passage, together with the cost of the chain, is
+described in fewest bytes; otherwise the passage stays. All chains of up to three steps are candidates. Characters that are
+gone count as a step of their own: a passage without them, and a byte for each, against the passage as it stands.
 
 Passages are paragraphs. Only tokens that some chain turns into orderly letters give a chain a try, which saves describing
 the clean rest; tokens recur, so each worker remembers what the chains make of them.
@@ -28,6 +29,8 @@ from sievewright.llm.uniform import CYRILLIC_AS_LATIN, GREEK_AS_LATIN
 DICTIONARY_BYTES = 64 << 10
 #: Bytes that a character outside a language's letters costs on top.
 ESCAPE = 2
+#: Steps of a chain at most.
+LONGEST = 3
 #: Tokens that a worker remembers.
 REMEMBERED = 300_000
 
@@ -236,38 +239,42 @@ class Mender:
             best = size if best is None else min(best, size)
         return len(raw) if best is None else best
 
+    def _undone(self, text: str) -> Iterator[tuple[Step, int, str]]:
+        """(step, its cost, the text before it) for every step that some token of a text speaks for."""
+        spoken_for = {i for t in set(TOKEN.findall(text)) for i in self.candidates(t)}
+        for i in sorted(spoken_for, key=lambda i: (self.steps[i].cost, i)):
+            step = self.steps[i]
+            new = TOKEN.sub(lambda m, i=i: self._mended(m.group(), i), text)
+            cost = step.cost
+            if step.right != "utf-8":
+                # a letter for a letter: the old text reads as words as well, so each kind of exchange must earn its keep
+                swaps = {(a, b) for a, b in zip(text, new) if a != b}
+                cost += 3 * sum(a.lower() != a.upper() and b.isalpha() and a.isupper() == b.isupper() and not "а" <= b.lower() <= "ё" for a, b in swaps)
+            yield step, cost, new
+
     def mend_passage(self, text: str) -> tuple[str, list[str]]:
-        """(text, names of the steps undone) of one passage; unchanged without steps if no chain describes it in fewer bytes."""
-        done: list[str] = []
-        for _ in range(3):
-            votes: Counter[int] = Counter()
-            for t in set(TOKEN.findall(text)):
-                for i in self.candidates(t):
-                    votes[i] += len(t)
-            if not votes:
-                break
-            best = self.length(text)
-            after, taken = None, None
-            tried: set[str] = set()
-            # every step with a vote, the most supported first; equal results are described once
-            for i, _ in votes.most_common():
-                step = self.steps[i]
-                new = TOKEN.sub(lambda m, i=i: self._mended(m.group(), i), text)
-                if new == text or new in tried:
-                    continue
-                tried.add(new)
-                size, cost = self.length(new), step.cost
-                if step.right != "utf-8":
-                    # a letter for a letter: the old text reads as words as well, so each kind of exchange must earn its keep
-                    swaps = {(a, b) for a, b in zip(text, new) if a != b}
-                    cost += 3 * sum(a.lower() != a.upper() and b.isalpha() and a.isupper() == b.isupper() and not "а" <= b.lower() <= "ё" for a, b in swaps)
-                if size + cost < best:
-                    best, after, taken = size + cost, new, step
-            if after is None:
-                break
-            text = after
-            done.append(taken.name)
-        return text, done
+        """(text, names of the steps undone) of one passage; unchanged without steps if no chain describes it in fewer bytes.
+
+        All chains of up to ``LONGEST`` steps are described, also those whose first steps don't pay by themselves; a text that
+        several chains lead to is described once, with the cheapest of the shortest of them.
+        """
+        best, after, done = self.length(text) if any(map(self.candidates, set(TOKEN.findall(text)))) else 0, text, ()
+        seen, open_ = {text}, {text: (0, ())}
+        for nth in range(1, LONGEST + 1 if best else 1):
+            then: dict[str, tuple[int, tuple[str, ...]]] = {}
+            for old, (paid, names) in open_.items():
+                for step, cost, new in self._undone(old):
+                    cost *= nth  # the longer a chain, the more there are
+                    if new not in seen and (new not in then or paid + cost < then[new][0]):
+                        then[new] = paid + cost, (*names, step.name)
+            for new, (paid, names) in then.items():
+                if len(text) == len(new) and all(a in _DISGUISE or a in SIGNS and b in SIGNS for a, b in zip(text, new) if a != b):
+                    continue  # a chain that in the end puts signs for signs, or something for disguised letters, proves nothing
+                if (size := self.length(new) + paid) < best:
+                    best, after, done = size, new, names
+            seen.update(then)
+            open_ = then
+        return after, list(done)
 
     def _mended(self, token: str, i: int) -> str:
         got = self.moved.get((token, i))
@@ -286,20 +293,23 @@ class Mender:
         """(restored text, chain or None if nothing was garbled). Passages that can't be restored count with the chain ``lost``."""
         if text.isascii():
             return text, None
-        hit = CERTAIN.search(text) is not None
-        if not hit and not any(self.candidates(t) for t in set(TOKEN.findall(text))):
+        if not CERTAIN.search(text) and not any(self.candidates(t) for t in set(TOKEN.findall(text))):
             return text, None
         names: list[str] = []
         parts = _PARAGRAPH.split(text)
+        lost = False
         for k in range(0, len(parts), 2):
             if parts[k].isascii():
                 continue
             parts[k], done = self.mend_passage(parts[k])
             names += done
-        out = "".join(parts)
-        if hit and CERTAIN.search(out):
-            names.append("lost")
-        return out, "; ".join(dict.fromkeys(names)) or None
+            lost = lost or self._lost(parts[k])
+        return "".join(parts), "; ".join(dict.fromkeys([*names, "lost"] if lost else names)) or None
+
+    def _lost(self, text: str) -> bool:
+        """If a passage is described in fewer bytes as one from which characters were lost, each at a byte, than as it stands."""
+        n = len(CERTAIN.findall(text))
+        return n > 0 and self.length(CERTAIN.sub("", text)) + 1 + n < self.length(text)
 
 
 def restore(df: DataFrame, column: str, model: Model, result: str = "restored", chain: str = "chain") -> DataFrame:

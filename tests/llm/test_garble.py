@@ -63,3 +63,27 @@ def test_no_sentences_to_train_on():
 def test_every_voted_step_is_described_under_all_languages(mender):
     assert mender.mend("die wir bis Montag. wir ⁿber È źródło") == ("die wir bis Montag. wir über È źródło", "cp1252 read as cp437")
     assert mender.mend("è ù ц╢ w wstrzymana. przez razie") == ("è ù ô w wstrzymana. przez razie", "utf-8 read as koi8_r")
+
+
+def test_chain_whose_first_step_does_not_pay_alone(mender):
+    """Both steps of a chain count together; all chains up to the longest are described."""
+    text = "Bitte prüfen Sie die Gutschrift für größere Mengen, wir können später zahlen."
+    once = text.encode("utf-8").decode("cp1252")
+    twice = once.encode("utf-8").decode("cp850")
+    first = [new for _, _, new in mender._undone(twice) if new == once]
+    assert first, "the first step is a candidate"
+    got, chain = mender.mend(twice)
+    assert got == text and chain.count(";") == 1
+    real = mender.length
+    try:
+        # were the first step alone to cost as much as nothing undone, the chain would still be found
+        mender.length = lambda t: real(twice) + 50 if t == once else real(t)
+        assert mender.mend(twice)[0] == text
+    finally:
+        mender.length = real
+
+
+def test_lost_characters_are_told_by_length(mender):
+    got, chain = mender.mend("Die Rechnung f\ufffdr Mai liegt bei.")
+    assert chain == "lost" and "\ufffd" in got
+    assert mender.mend("Die Rechnung liegt bei.") == ("Die Rechnung liegt bei.", None)
