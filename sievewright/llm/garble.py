@@ -12,6 +12,7 @@ the clean rest; tokens recur, so each worker remembers what the chains make of t
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -125,6 +126,7 @@ class Mender:
 
     def __init__(self, model: Model) -> None:
         self.letters = model.letters
+        self.plain = {lang: own | SIGNS for lang, own in model.letters.items()}
         kind = lambda d: zstandard.DICT_TYPE_FULLDICT if d[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
         self.compress = {}
         for lang, d in model.dictionaries.items():
@@ -133,10 +135,17 @@ class Mender:
             self.compress[lang] = zstandard.ZstdCompressor(dict_data=z, write_content_size=False, write_dict_id=False, write_checksum=False).compress
         self.steps = [Step(right, wrong, cost) for right, wrongs, cost in STEPS for wrong in wrongs.split()]
         self.codecs = {name: _codec(name) for right, wrongs, _ in STEPS for name in (right, *wrongs.split()) if name != "utf-8"}
+        # the steps that the first character beyond ASCII of a token leaves open: a byte that begins a sequence, or any
+        self.open_to: dict[str, list[int]] = {}
+        for i, x in enumerate(self.steps):
+            for ch, byte in self.codecs[x.wrong][0].items():
+                if byte > 127 and ord(ch) > 127 and (x.right != "utf-8" or 0xC2 <= byte <= 0xF4):
+                    self.open_to.setdefault(ch, []).append(i)
         self.words = model.words
         self.moved: dict[tuple[str, int], str] = {}
         self.any_letter = set().union(*self.letters.values()) if self.letters else set()
         self.memory: dict[str, dict[int, str]] = {}
+        self.inner: dict[str, int] = {}
 
     def orderly(self, token: str) -> bool:
         """If one language has all the letters, capitals stand where they may, and signs stand outside of words."""
@@ -204,7 +213,8 @@ class Mender:
         got = self.memory.get(token)
         if got is None:
             got = {}
-            for i, s in enumerate(self.steps) if token not in self.words else ():
+            for i in self.open_to.get(_ODD.search(token).group(), ()) if token not in self.words else ():
+                s = self.steps[i]
                 was = self._was(s, token)
                 if was is None or was == token:
                     continue
@@ -219,22 +229,31 @@ class Mender:
             self.memory[token] = got
         return got
 
+    def _inner(self, token: str) -> int:
+        """Signs and capitals within a word."""
+        n = self.inner.get(token)
+        if n is None:
+            if len(self.inner) > REMEMBERED:
+                self.inner.clear()
+            body = token.strip(_SIGNS)
+            n = self.inner[token] = sum(ch in SIGNS and ch not in _JOINING for ch in body) + sum(map(len, _CAPITAL.findall(body)))
+        return n
+
     def _escapes(self, text: str) -> dict[str, int]:
         """Per language, how many characters it must escape: unknown letters, and signs or capitals within words."""
         odd = Counter(_ODD.findall(text))
-        inner = 0
-        for t in TOKEN.findall(text):
-            body = t.strip(_SIGNS)
-            inner += sum(ch in SIGNS and ch not in _JOINING for ch in body) + sum(map(len, _CAPITAL.findall(body)))
-        return {lang: 2 * inner + sum(n for ch, n in odd.items() if ch not in own and ch not in SIGNS) for lang, own in self.letters.items()}
-
-    def length(self, text: str) -> int:
-        """Description length in bytes under the best of all languages."""
+        inner = sum(map(self._inner, TOKEN.findall(text)))
+        return {lang: 2 * inner + sum(map(odd.__getitem__, odd.keys() - own)) for lang, own in self.plain.items()}
+
+    def length(self, text: str, below: float = math.inf) -> float:
+        """Description length in bytes under the best of all languages; infinite if the escapes alone cost ``below`` or more."""
         raw = text.encode("utf-8", "surrogatepass")
         best = None
         for lang, n in sorted(self._escapes(text).items(), key=lambda x: x[1]):
-            if best is not None and ESCAPE * n >= best:
-                break  # the escapes alone cost more, here and in all that follow
+            if ESCAPE * n >= (below if best is None else best):
+                # the escapes alone cost more, here and in all that follow
+                best = math.inf if best is None else best
+                break
             size = len(self.compress[lang](raw)) + ESCAPE * n
             best = size if best is None else min(best, size)
         return len(raw) if best is None else best
@@ -270,7 +289,7 @@ class Mender:
             for new, (paid, names) in then.items():
                 if len(text) == len(new) and all(a in _DISGUISE or a in SIGNS and b in SIGNS for a, b in zip(text, new) if a != b):
                     continue  # a chain that in the end puts signs for signs, or something for disguised letters, proves nothing
-                if (size := self.length(new) + paid) < best:
+                if (size := self.length(new, best - paid) + paid) < best:
                     best, after, done = size, new, names
             seen.update(then)
             open_ = then
