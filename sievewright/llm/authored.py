@@ -2,8 +2,12 @@
 
 A body is cut into blocks: paragraphs, cut again where quote marks begin or end and at rules, separators and headers. Each
 block is described by numbers: quote depth, density of contact data, headers, rules, its place and what precedes and follows
-it, how often its sender sends a block of that pattern, and how many other messages have the very same text. Gradient-boosted trees,
-fitted on a bounded sample that strict layout marks label, tell blocks that are not the sender's.
+it, how often its sender sends a block of that pattern (sender frequency), and which of its sentences earlier mails of others or of
+the sender have (ancestor overlap). Gradient-boosted trees tell blocks that are not the sender's.
+
+There are no labels, so the trees are fitted on a bounded sample of mails that layout marks label, and on copies of some of them
+from which those marks were taken: quote marks, headers, separators, introductions and rules. A copy keeps the labels of its
+lines, so that what the trees learn from it is not what made the label: frequencies, ancestors, contacts, place and form decide there.
 """
 
 from __future__ import annotations
@@ -22,8 +26,10 @@ from pyspark.sql import functions as F
 from sievewright.llm.garble import STEPS
 from sievewright.staging import written
 
-#: Labelled blocks that the trees are fitted on.
-SAMPLE_BLOCKS = 40_000
+#: Mails that the trees are fitted on, about, and the part of them that is also taken without its marks.
+SAMPLE_MAILS, STRIPPED = 6_000, 0.25
+#: A key that more than this part of all rows has is joined by broadcast; there are fewer of them than this.
+HOT = 1_000
 
 
 def _garbled(sign: str) -> set[str]:
@@ -57,13 +63,19 @@ INITIAL = re.compile(r"^\s*[^\s\d.]{1,3}\.\s?[^\s\d@|,;:<>]{2,40}\s*$")
 _INVISIBLE = re.compile("[\xad\u200b-\u200f\u2060-\u2064\ufeff]")
 DATED = re.compile(r"\d{1,4}[./-]\d{1,2}[./-]\d{2,4}|\d{1,2}\.? [^\W\d_]{3,} \d{4}|[^\W\d_]{3,} \d{1,2}, \d{4}")
 SENTENCE = re.compile(r"[.!?…][\"'“”»)]*$")
+_BETWEEN = re.compile(r"[.!?:;]+\s+")
+#: Characters of a sentence that may tell an ancestor.
+LEAST_SENTENCE = 20
 _WORD, _DIGIT = re.compile(r"\w+"), re.compile(r"\d")
 
 FEATURES = (
     "depth", "enclosed", "in_forward", "separator", "rule", "header_share", "introduces", "contact_density", "n_lines", "mean_length", "after_closing", "after_rule",
     "ends_sentence", "blocks_after", "place", "capital_share", "names", "closing", "digit_share", "longest", "quoted_before", "quoted_after", "before_contact", "first_own", "closes_after",
-    "sender_frequency", "ancestors",
+    "marked_mail", "sentences",
+    "sender_frequency", "ancestor_overlap", "own_overlap", "commonness",
 )
+#: The features that need other messages stand last.
+OWN = len(FEATURES) - 4
 
 
 def _contacts(text: str) -> int:
@@ -130,7 +142,7 @@ def _is_closing(b: Block) -> bool:
 
 
 def describe(text: str) -> tuple[list[Block], np.ndarray, list[int]]:
-    """(blocks, their features but for the two that need other messages, labels 1 not the sender's, 0 the sender's, -1 not sure)."""
+    """(blocks, their features but for those that need other messages, labels 1 not the sender's, 0 the sender's, -1 not sure)."""
     text = text.replace("\r", "")
     if not text.isascii():
         text = unicodedata.normalize("NFC", _INVISIBLE.sub("", text))
@@ -144,6 +156,7 @@ def describe(text: str) -> tuple[list[Block], np.ndarray, list[int]]:
     # marks alone tell quoted blocks; they need no look at their words
     contact = [0 if b.depth else _contacts(t) for b, t in zip(blocks, flat)]
     quoted = [b.depth > 0 for b in blocks]
+    any_mark = any(quoted) or any(b.kind != "text" for b in blocks)
     marked = next((k for k, b in enumerate(blocks) if b.kind in ("headers", "separator")), n)
     closes = [k < marked and not (k and blocks[k - 1].kind == "rule") and _is_closing(b) for k, b in enumerate(blocks)]
     for k, b in enumerate(blocks):
@@ -162,6 +175,7 @@ def describe(text: str) -> tuple[list[Block], np.ndarray, list[int]]:
         after_rule = bool(before and before.kind == "rule" and tight_before and not forward)
         closing = not forward and not after_rule and _is_closing(b)
         row = x[k]
+        row[25] = any_mark
         if b.depth:
             row[0], row[8], row[13], row[14] = b.depth, len(b.lines), n - 1 - k, k / n
             labels[k] = 1
@@ -194,9 +208,38 @@ def pattern_key(sender: str, block: Block) -> int:
     return xxhash.xxh3_64_intdigest(f"{sender}\x00{small}") - (1 << 63)
 
 
-def text_key(block: Block) -> int:
-    """A hash of the words of a block."""
-    return xxhash.xxh3_64_intdigest(" ".join(_WORD.findall(" ".join(block.lines)))) - (1 << 63)
+def sentence_keys(block: Block) -> list[int]:
+    """Hashes of the sentences of a block that are long enough to be told from others, however their lines are wrapped."""
+    cut = (s.rstrip(" .!?:;") for s in _BETWEEN.split(" ".join(block.lines)))
+    return [xxhash.xxh3_64_intdigest(s) - (1 << 63) for s in cut if len(s) >= LEAST_SENTENCE]
+
+
+def stripped(text: str) -> tuple[str, list[int]] | None:
+    """(the text without quote marks, headers, separators, introductions and rules, the label of each of its lines; -1 for blank ones); None if it has no marks."""
+    text = text.replace("\r", "")
+    blocks, x, labels = describe(text)
+    if not x[:, FEATURES.index("marked_mail")].any():
+        return None
+    lines = text.split("\n")
+    out, of, end, was = [], [], -1, 0
+    for b, row, label in zip(blocks, x, labels):
+        if b.kind != "text" or row[FEATURES.index("introduces")]:
+            continue
+        # a blank line where there was one, or where marks alone stood between
+        if out and (b.first > end + 1 or label != was):
+            out.append("")
+            of.append(-1)
+        for line in lines[b.first : b.last + 1]:
+            m = QUOTE.match(line)
+            plain = line[m.end() :].strip() if m else line
+            out.append(plain)
+            of.append(label if plain.strip() else -1)
+        end, was = b.last, label
+    return "\n".join(out), of
+
+
+def _labels_of(blocks: list[Block], lines: list[int]) -> list[int]:
+    return [max(own, key=own.count) if (own := [v for v in lines[b.first : b.last + 1] if v >= 0]) else -1 for b in blocks]
 
 
 @dataclass
@@ -260,82 +303,126 @@ def fit_trees(x: np.ndarray, y: np.ndarray, n_trees: int = 40, depth: int = 4, r
     return Trees(feature, bound, leaf, start)
 
 
-BLOCKS = "msg_id bigint, first_line int, last_line int, x binary, label int, pattern bigint, same bigint"
+MAILS = "msg_id bigint, variant int, sampled boolean, sent bigint, who bigint, first binary, last binary, x binary, label binary, keys array<struct<key:bigint,place:int>>"
+_KEYS = pa.list_(pa.struct([("key", pa.int64()), ("place", pa.int32())]))
+_TYPES = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), *[pa.binary()] * 4, _KEYS]
 
 
-def described_blocks(mails: DataFrame, key: str = "msg_id", body: str = "text_body", sender: str = "message_from") -> DataFrame:
-    """One row per block of every body with its features, its label by layout and, unless it is quoted, the keys of its pattern and its text."""
+def _described(text: str, who: str, labels_of: list[int] | None = None) -> tuple:
+    """(first lines, last lines, features, labels, keys) of a body; place is 2 * block for a sentence and 2 * block + 1 for the pattern."""
+    blocks, x, labels = describe(text)
+    keys = []
+    for k, b in enumerate(blocks):
+        if b.kind == "text" or b.depth:
+            own = sentence_keys(b)
+            x[k, FEATURES.index("sentences")] = len(own)
+            keys += [{"key": h, "place": 2 * k} for h in own]
+            if not b.depth and not x[k, 2]:
+                keys.append({"key": pattern_key(who, b), "place": 2 * k + 1})
+    if labels_of is not None:
+        labels = _labels_of(blocks, labels_of)
+    pack = lambda v, t: np.array(v, t).tobytes()
+    return pack([b.first for b in blocks], np.int32), pack([b.last for b in blocks], np.int32), np.minimum(x[:, :OWN], 60_000).astype(np.float16).tobytes(), pack(labels, np.int8), keys
+
+
+def described_mails(mails: DataFrame, share: float, key: str, body: str, sender: str, sent: str) -> DataFrame:
+    """One row per mail with its blocks (variant 0), and one more without its marks (variant 1) for a part of the sample."""
+    most = 1 << 40
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
         for b in batches:
-            cols: tuple[list, ...] = tuple([] for _ in kinds)
-            for i, text, who in zip(*(b.column(c).to_pylist() for c in range(3))):
-                if i is None or not text:
+            rows: list[tuple] = []
+            for i, text, who, at in zip(*(b.column(c).to_pylist() for c in range(4))):
+                if i is None or not text or not text.strip():
                     continue
-                blocks, x, labels = describe(text)
-                for k, bl in enumerate(blocks):
-                    own = not bl.depth and bl.kind == "text" and not x[k, 2]
-                    for col, v in zip(cols, (i, bl.first, bl.last, x[k].tobytes(), labels[k], pattern_key(who or "", bl) if own else None, text_key(bl) if own and len(bl.lines[0]) > 20 else None)):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[c.split()[0] for c in BLOCKS.split(", ")])
-
-    return mails.select(F.col(key).cast("bigint").alias("msg_id"), F.col(body).alias("body"), F.col(sender).alias("sender")).mapInArrow(cut, BLOCKS)
-
-
-def foreign_lines(mails: DataFrame, key: str = "msg_id", body: str = "text_body", sender: str = "message_from", sample: int = SAMPLE_BLOCKS) -> DataFrame:
+                draw = xxhash.xxh3_64_intdigest(str(i)) % most
+                head = (draw < share * most, at, xxhash.xxh3_64_intdigest(who or "") - (1 << 63))
+                rows.append((i, 0, *head, *_described(text, who or "")))
+                if draw < share * STRIPPED * most and (bare := stripped(text)):
+                    rows.append((i, 1, *head, *_described(bare[0], who or "", bare[1])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(_TYPES), _TYPES)], names=[c.split()[0] for c in MAILS.split(", ")])
+
+    at = F.unix_micros(F.col(sent).cast("timestamp")) if sent in mails.columns else F.lit(None).cast("bigint")
+    return mails.select(F.col(key).cast("bigint").alias("msg_id"), F.col(body).alias("body"), F.col(sender).alias("sender"), F.coalesce(at, F.lit((1 << 63) - 1)).alias("sent")).mapInArrow(cut, MAILS)
+
+
+def _matches(described: DataFrame) -> DataFrame:
+    """(msg_id, variant, found): for each mail the keys that other mails have too: place, how many mails, 1 if an earlier one of another sender came first, 2 if one of its own."""
+    rows = described.select("msg_id", "variant", "sent", "who", F.explode("keys").alias("k")).select("msg_id", "variant", "sent", "who", "k.key", "k.place")
+    counted = rows.filter("variant = 0").groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("sent", F.col("msg_id").alias("m"), F.col("who").alias("w"))).alias("top"), F.max("msg_id").alias("last"))
+    counted = written(counted.filter(F.col("last") != F.col("top.m")).select("key", "n", F.col("top.sent").alias("sent0"), F.col("top.m").alias("msg0"), F.col("top.w").alias("who0")), "keys")
+    # keys with more than a thousandth of all rows are fewer than a thousand, and are joined by broadcast: none of them meets in one task
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot, cold = F.broadcast(counted.filter(F.col("n") * HOT > total)), counted.filter(F.col("n") * HOT <= total)
+    pairs = rows.join(hot, "key").unionByName(rows.join(hot.select("key"), "key", "left_anti").join(cold, "key"))
+    earlier = (F.col("sent0") < F.col("sent")) | (F.col("sent0") == F.col("sent")) & (F.col("msg0") < F.col("msg_id"))
+    flag = F.when(earlier, F.when(F.col("who0") != F.col("who"), 1).otherwise(2)).otherwise(0)
+    return pairs.groupBy("msg_id", "variant").agg(F.collect_list(F.struct("place", "n", flag.cast("int").alias("flag"))).alias("found"))
+
+
+def _features(b: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(features of all blocks of a batch of mails, the row of the mail of each block)."""
+    own = np.frombuffer(b"".join(b.column("x").to_pylist()), np.float16).reshape(-1, OWN).astype(np.float32)
+    n_blocks = np.array([len(v) // 4 for v in b.column("first").to_pylist()], np.int64)
+    x = np.zeros((len(own), len(FEATURES)), np.float32)
+    x[:, :OWN] = own
+    base = np.cumsum(n_blocks) - n_blocks
+    found = b.column("found").to_pylist()
+    rows = [(base[i] + f["place"] // 2, f["place"] & 1, f["n"], f["flag"]) for i, some in enumerate(found) for f in some or ()]
+    if rows:
+        at, kind, n, flag = np.array(rows, np.int64).T
+        np.maximum.at(x[:, OWN], at[kind == 1], np.log1p(n[kind == 1] - 1))
+        s = kind == 0
+        for col, w in ((OWN + 1, flag == 1), (OWN + 2, flag == 2)):
+            np.add.at(x[:, col], at[s & w], 1)
+        np.add.at(x[:, OWN + 3], at[s], np.log1p(n[s] - 1))
+        x[:, OWN + 1 :] /= np.maximum(x[:, FEATURES.index("sentences")], 1)[:, None]
+    return x, np.repeat(np.arange(len(n_blocks)), n_blocks)
+
+
+def foreign_lines(mails: DataFrame, key: str = "msg_id", body: str = "text_body", sender: str = "message_from", sent: str = "sent_at", sample: int = SAMPLE_MAILS) -> DataFrame:
     """(msg_id, line_no) of every line, from 1, that the sender of the message did not newly write.
 
     Lines are split at LF; blank lines are never listed. Messages listed twice count once. Null and empty bodies have no lines. The
-    trees are fitted on ``sample`` blocks at most; frequencies of patterns and texts are counted over all messages.
+    trees are fitted on about ``sample`` mails; frequencies of patterns and sentences are counted over all messages. A mail
+    without a date (or all, without that column) counts as the latest.
     """
-    spark = mails.sparkSession
-    blocks = written(described_blocks(mails, key, body, sender), "blocks").dropDuplicates(["msg_id", "first_line"])
-    often = blocks.filter("pattern IS NOT NULL").groupBy(F.col("pattern").alias("p")).agg(F.count("*").alias("sent")).filter("sent > 1")
-    others = blocks.filter("same IS NOT NULL").groupBy(F.col("same").alias("s")).agg(F.count_distinct("msg_id").alias("n")).filter("n > 1")
-    # quoted blocks have no keys; a key of their own spreads them, and the condition keeps them from matching
-    apart = F.xxhash64("msg_id", "first_line")
-    keyed = blocks.withColumn("pk", F.coalesce("pattern", apart)).withColumn("sk", F.coalesce("same", apart))
-    joined = keyed.join(often, (F.col("pk") == F.col("p")) & F.col("pattern").isNotNull(), "left").join(others, (F.col("sk") == F.col("s")) & F.col("same").isNotNull(), "left")
-    counted = written(joined.select("msg_id", "first_line", "last_line", "x", "label", F.coalesce("sent", F.lit(1)).alias("sent"), (F.coalesce("n", F.lit(1)) - 1).alias("others")), "counted")
-    trees = fit_trees(*_training(counted, sample))
-    shared = spark.sparkContext.broadcast(trees)
+    described, matches = _described_with_matches(mails, sample, key, body, sender, sent)
+    trees = fit_trees(*_training(described, matches))
+    shared = mails.sparkSession.sparkContext.broadcast(trees)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
                 continue
-            bad = np.flatnonzero(shared.value.margin(_features(b.column(3).to_pylist(), b.column(4).to_numpy(), b.column(5).to_numpy())) > 0)
-            first, last, who = b.column(1).to_numpy()[bad], b.column(2).to_numpy()[bad], b.column(0).to_numpy()[bad]
+            x, row = _features(b)
+            bad = np.flatnonzero(shared.value.margin(x) > 0)
+            first, last = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.int32)[bad] for c in ("first", "last"))
             n = last - first + 1
             line = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(who, n)), pa.array(line.astype(np.int32))], names=["msg_id", "line_no"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("msg_id").to_numpy()[row[bad]], n)), pa.array(line.astype(np.int32))], names=["msg_id", "line_no"])
 
-    return counted.select("msg_id", "first_line", "last_line", "x", "sent", "others").mapInArrow(tell, "msg_id bigint, line_no int")
+    own = described.filter("variant = 0").select("msg_id", "first", "last", "x")
+    return own.join(matches.filter("variant = 0").select("msg_id", "found"), "msg_id", "left").mapInArrow(tell, "msg_id bigint, line_no int")
 
 
-def _features(rows: list[bytes], sent: np.ndarray, others: np.ndarray) -> np.ndarray:
-    x = np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), len(FEATURES)).copy()
-    x[:, -2], x[:, -1] = np.log1p(sent), np.log1p(others)
-    return x
+def _described_with_matches(mails: DataFrame, sample: int, key: str, body: str, sender: str, sent: str) -> tuple[DataFrame, DataFrame]:
+    share = min(1.0, sample / max(1, mails.count()))
+    described = written(described_mails(mails, share, key, body, sender, sent).dropDuplicates(["msg_id", "variant"]), "mails")
+    return described, written(_matches(described), "matches")
 
 
-def _training(counted: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    sure = counted.filter("label >= 0")
-    # by hash of the block: spread over all messages, the same in every run, about ``sample`` of them
-    share = min(1.0, sample / max(1, sure.count()))
-    part = F.pmod(F.xxhash64("msg_id", "first_line"), F.lit(1 << 20)) < int(share * (1 << 20))
-    rows = sure.filter(part).select("msg_id", "first_line", "x", "sent", "others", "label").toPandas().sort_values(["msg_id", "first_line"])
-    if rows.empty:
+def _training(described: DataFrame, matches: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of the sample, in the same order in every run."""
+    rows = described.filter("sampled").join(matches, ["msg_id", "variant"], "left").select("msg_id", "variant", "first", "x", "label", "found").toArrow().sort_by([("msg_id", "ascending"), ("variant", "ascending")])
+    if not len(rows):
         return np.zeros((0, len(FEATURES)), np.float32), np.zeros(0)
-    x, y = _features([bytes(v) for v in rows["x"]], rows["sent"].to_numpy(), rows["others"].to_numpy()), rows["label"].to_numpy().astype(float)
-    # the same blocks without the marks before them, so that the trees learn to tell a notice or signature by itself
-    bare = x[:, FEATURES.index("depth")] == 0
-    bare &= x[:, FEATURES.index("in_forward")] == 0
-    bare &= x[:, FEATURES.index("ends_sentence")] == 0  # a paragraph of sentences is told by its place alone
-    plain = x[bare].copy()
-    plain[:, [FEATURES.index("after_closing"), FEATURES.index("after_rule")]] = 0
-    return np.concatenate((x, plain)), np.concatenate((y, y[bare]))
+    x, row = _features(rows)
+    y = np.frombuffer(b"".join(rows.column("label").to_pylist()), np.int8).copy()
+    # a mail without any mark says nothing of text that others sent before: it may be history whose marks are gone
+    whole = rows.column("variant").to_numpy()[row] == 0
+    y[whole & (y == 0) & (x[:, FEATURES.index("marked_mail")] == 0) & (x[:, FEATURES.index("ancestor_overlap")] > 0.5)] = -1
+    return x[y >= 0], y[y >= 0].astype(float)
 
 
 def authored_text(mails: DataFrame, lines: DataFrame, key: str = "msg_id", body: str = "text_body") -> DataFrame:
