@@ -95,6 +95,7 @@ class Block:
     depth: int
     lines: list[str]
     kind: str = "text"  # text, rule, separator, headers
+    words: list[str] | None = None
 
 
 def blocks_of(text: str) -> list[Block]:
@@ -180,7 +181,7 @@ def describe(text: str) -> tuple[list[Block], np.ndarray, list[int]]:
             row[0], row[8], row[13], row[14] = b.depth, len(b.lines), n - 1 - k, k / n
             labels[k] = 1
             continue
-        words = _WORD.findall(t)
+        words = b.words = _WORD.findall(t)
         row[:25] = (
             b.depth, enclosed, forward or next_forward, b.kind == "separator", b.kind == "rule", sum(bool(HEADER.match(y)) for y in b.lines) / len(b.lines), introduces or unmarked,
             10 * contact[k] / max(1, len(words)), len(b.lines), len(t) / len(b.lines), closing_seen, after_rule,
@@ -204,7 +205,7 @@ def describe(text: str) -> tuple[list[Block], np.ndarray, list[int]]:
 
 def pattern_key(sender: str, block: Block) -> int:
     """A hash of the sender and the pattern of a block: its words without capitals and digits."""
-    small = " ".join(w if w.islower() else "X" for w in _WORD.findall(" ".join(block.lines)))
+    small = " ".join(w if w.islower() else "X" for w in block.words or _WORD.findall(" ".join(block.lines)))
     return xxhash.xxh3_64_intdigest(f"{sender}\x00{small}") - (1 << 63)
 
 

@@ -1,19 +1,19 @@
 """Filling containers of fixed capacities with texts, sized in tokens.
 
 Only a histogram of sizes decides how containers are filled; it has no more entries than the capacity, however many texts
-there are, so it is planned on the driver. Sizes are routed to tiers (over 1/2, 1/4, 1/8 of the capacity, and
-the rest). Each tier is packed from its largest size down; the gaps of a container are filled with the largest
-sizes that still fit, from the same tier and then from shorter ones, and the last gap by the best pair. A plan is a list
-of patterns with how often each is used. Texts are then numbered within their size, in salted parts so that a size that
-very many texts share is spread, and the number alone says which container and place a text gets. Containers of a tier are
-dealt to step groups back and forth by fill, so that the groups of a tier carry nearly the same number of tokens. Containers
-that one piece of an oversized text fills are the fullest of the first tier and are dealt before all others of it.
+there are, so it is planned on the driver. Sizes are routed to tiers of context windows (over 1/2, 1/4, 1/8 of the capacity,
+and the rest). Each tier is packed by itself, longest window first: its largest size opens a container, and sizes of
+the tier fill it as long as one fits. The gap that is left is filled from the shorter tiers, the last of it by the pair that fits
+best. A plan is a list of patterns with how often each is used. Texts are then numbered within their size in the
+order of a hash, in parts so that a size that very many texts share is spread, and the number alone says which container and place
+a text gets. Containers of a tier are dealt to step groups back and forth by fill, so that the groups of a tier carry
+nearly the same number of tokens. Containers that one piece of an oversized text fills are the fullest of the first tier and
+are dealt before all others of it.
 """
 
 from __future__ import annotations
 
 import base64
-from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,8 +28,12 @@ from sievewright.staging import written
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts of one size that one task numbers, about.
+#: Texts of one size that one task numbers, about; the numbers are the same whatever it is.
 PART_ROWS = 200_000
+#: Tiers, each for texts up to half the size of the one before.
+TIERS = 4
+#: Larger partners that are tried for the last gap of a container.
+PARTNERS = 24
 _SHIFT = 40  # bits for the number of a text within its size
 
 
@@ -66,29 +70,76 @@ class Plan:
     fills: list[tuple[int, int]] | None = None  # (tokens in a container, containers)
 
 
-def _tier(size: int, capacity: int) -> int:
-    return 0 if 2 * size > capacity else 1 if 4 * size > capacity else 2 if 8 * size > capacity else 3
+def route(size: int, capacity: int) -> int:
+    """The tier of a size: 0 for more than half the capacity, 1 for more than a quarter, and so on; the last has all the rest."""
+    return next((t for t in range(TIERS - 1) if size << t + 1 > capacity), TIERS - 1)
 
 
-def _best_pair(sizes: list[int], counts: dict[int, int], free: int, sep: int) -> tuple[int, int]:
-    """Two sizes, larger first, that fill ``free`` best; (0, 0) if no two fit."""
-    s = np.array(sizes)
-    s = s[: np.searchsorted(s, free - sep, side="right")]
-    if not len(s):
-        return 0, 0
-    p = np.searchsorted(s, free - sep - s, side="right") - 1
-    ok = p >= 0
-    # a size can pair with itself only if there are two of it
-    for i in np.flatnonzero(ok & (p == np.arange(len(s)))):
-        if counts[int(s[i])] < 2:
-            p[i] -= 1
-    ok = p >= 0
-    if not ok.any():
-        return 0, 0
-    total = np.where(ok, s + s[np.maximum(p, 0)], -1)
-    i = int(total.argmax())
-    a, b = int(s[i]), int(s[p[i]])
-    return max(a, b), min(a, b)
+class _Stock:
+    """How many texts of each size are left, with the next smaller size that is not used up in nearly constant time."""
+
+    def __init__(self, histogram: dict[int, int], capacity: int) -> None:
+        self.counts = [0] * (capacity + 1)
+        for s, n in histogram.items():
+            self.counts[s] = n
+        self.below = [s if s == 0 or n else s - 1 for s, n in enumerate(self.counts)]
+
+    def at_most(self, size: int) -> int:
+        """The largest size up to ``size`` that is left; 0 if there is none."""
+        below, s = self.below, size
+        while below[s] != s:
+            below[s] = below[below[s]]
+            s = below[s]
+        return s
+
+    def free(self, size: int, inside: dict[int, int]) -> int:
+        """As :meth:`at_most`, without what a container already takes."""
+        s = self.at_most(max(size, 0))
+        while s and self.counts[s] <= inside.get(s, 0):
+            s = self.at_most(s - 1)
+        return s
+
+    def take(self, inside: dict[int, int]) -> int:
+        """Use up a pattern as often as it goes; returns how often."""
+        many = min(self.counts[s] // k for s, k in inside.items())
+        for s, k in inside.items():
+            self.counts[s] -= k * many
+            if not self.counts[s]:
+                self.below[s] = s - 1
+        return many
+
+    def pair(self, gap: int, separator: int, inside: dict[int, int]) -> tuple[int, int]:
+        """Two sizes, larger first, that fill ``gap`` best, or one with 0."""
+        best = (a := self.free(gap, inside), 0)
+        most = a
+        for _ in range(PARTNERS):
+            if not a or most == gap or 2 * a + separator <= most:
+                break
+            rest = gap - separator - a
+            b = self.free(min(rest, a), inside) if rest > 0 else 0
+            if b == a and self.counts[a] < inside.get(a, 0) + 2:
+                b = self.free(a - 1, inside)
+            if b and a + b + separator > most:
+                most, best = a + b + separator, (a, b)
+            a = self.free(a - 1, inside)
+        return best
+
+
+def _pack_tier(stock: _Stock, low: int, high: int, capacity: int, separator: int) -> Iterator[tuple[dict[int, int], int]]:
+    """(sizes in a container, number of such containers) until the sizes over ``low`` up to ``high`` are used up."""
+    while (top := stock.at_most(high)) > low:
+        inside = {top: 1}
+        gap = capacity - top - separator
+        # the tier's own sizes first, then those of shorter tiers
+        for floor in (low, 0):
+            while gap > 0 and (s := stock.free(min(gap, high), inside)) > floor:
+                if gap - s <= s + separator:
+                    # the last or the last but one
+                    a, b = stock.pair(gap, separator, inside)
+                    s = a
+                inside[s] = inside.get(s, 0) + 1
+                gap -= s + separator
+        yield inside, stock.take(inside)
 
 
 def _step(position: np.ndarray, steps: np.ndarray | int) -> np.ndarray:
@@ -102,46 +153,19 @@ def plan(histogram: dict[int, int], capacity: int, separator: int, group: int =
 
     ``full`` containers besides, each filled by one piece of an oversized text, take the first places of the first tier.
     """
-    counts = {s: n for s, n in histogram.items() if n > 0}
-    sizes = sorted(counts)
-    used = dict.fromkeys(sizes, 0)
+    stock = _Stock({s: n for s, n in histogram.items() if n > 0}, capacity)
+    used: dict[int, int] = {}
     patterns: list[tuple[list[tuple[int, int]], int, int]] = []
-    while sizes:
-        top = sizes[-1]
-        inside: dict[int, int] = {top: 1}
-        many, free = counts[top], capacity - top - separator
-        counts[top] -= 1
-        while free >= sizes[0] if sizes else False:
-            # what one container of the pattern already takes stays off the counts while it is built
-            i = bisect_right(sizes, free) - 1
-            while i >= 0 and counts[sizes[i]] < 1:
-                i -= 1
-            if i < 0:
-                break
-            take = sizes[i]
-            if free - take > 0 and free <= 2 * take + separator + sizes[0]:
-                open_sizes = [s for s in sizes[: i + 1] if counts[s] > 0]
-                a, b = _best_pair(open_sizes, counts, free, separator)
-                if a + b + (separator if b else 0) > take:
-                    take = a
-            inside[take] = inside.get(take, 0) + 1
-            counts[take] -= 1
-            free -= take + separator
-        for s, k in inside.items():
-            counts[s] += k
-            many = min(many, counts[s] // k)
-        many = max(1, many)
-        fill = sum(s * k for s, k in inside.items()) + separator * (sum(inside.values()) - 1)
-        patterns.append((sorted(inside.items(), reverse=True), many, fill))
-        for s, k in inside.items():
-            counts[s] -= k * many
-        if any(counts[s] == 0 for s in inside):
-            sizes = [s for s in sizes if counts[s]]
+    for tier in range(TIERS):
+        high, low = capacity >> tier, capacity >> tier + 1 if tier < TIERS - 1 else 0
+        for inside, many in _pack_tier(stock, low, high, capacity, separator):
+            fill = sum(s * k for s, k in inside.items()) + separator * (sum(inside.values()) - 1)
+            patterns.append((sorted(inside.items(), reverse=True), many, fill))
     # step groups: per tier, containers by fill, dealt back and forth
     place: dict[int, tuple[int, int, int]] = {}
     step_base, full_steps = 0, 1
-    for tier in range(4):
-        own = sorted((i for i, p in enumerate(patterns) if _tier(p[0][0][0], capacity) == tier), key=lambda i: -patterns[i][2])
+    for tier in range(TIERS):
+        own = sorted((i for i, p in enumerate(patterns) if route(p[0][0][0], capacity) == tier), key=lambda i: -patterns[i][2])
         at = full if tier == 0 else 0
         n = sum(patterns[i][1] for i in own) + at
         steps = max(1, -(-n // group))
@@ -156,8 +180,8 @@ def plan(histogram: dict[int, int], capacity: int, separator: int, group: int =
         slot = offset = 0
         at, steps, first_step = place[i]
         for s, k in inside_list:
-            rows.append((s << _SHIFT | used[s], k, base, slot, offset, at, _tier(inside_list[0][0], capacity), steps, first_step))
-            used[s] += k * many
+            rows.append((s << _SHIFT | used.get(s, 0), k, base, slot, offset, at, route(inside_list[0][0], capacity), steps, first_step))
+            used[s] = used.get(s, 0) + k * many
             slot += k
             offset += k * (s + separator)
         base += many
@@ -192,9 +216,11 @@ def pack(documents: DataFrame, containers: DataFrame, group: int = 8, vocabulary
             whole_base[i, s] = at
             at += own[s][1]
     n_parts = max(1, -(-max((r["n"] for r in table), default=1) // PART_ROWS))
-    salted = items.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)))
+    # parts are ranges of the hash, so that numbers follow its order however many parts there are
+    hashed = items.withColumn("h", F.xxhash64("doc_id"))
+    salted = hashed.withColumn("part", F.floor((F.shiftright("h", 44) + (1 << 19)) * n_parts / (1 << 20)).cast("int"))
     key = ["container_id", "rest"]
-    within = Window.partitionBy(*key, "part").orderBy("doc_id")
+    within = Window.partitionBy(*key, "part").orderBy("h", "doc_id")
     numbered = salted.withColumn("r", F.row_number().over(within).cast("bigint") - 1).withColumn("w", F.sum("whole").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("whole"))
     if n_parts > 1:
         before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

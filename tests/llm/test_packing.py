@@ -1,5 +1,8 @@
 import math
 import random
+import time
+
+import pytest
 
 from sievewright.llm import packing, queries
 
@@ -108,3 +111,43 @@ def test_steps_hold_all_tokens(spark, data):
     tokens = packing.token_sizes(documents).groupBy().sum("n_tokens").first()[0]
     got = {r[0]: r[1] for r in queries.p7_steps(spark, data).filter("step IS NOT NULL").groupBy("container_id").sum("tokens").collect()}
     assert got == {r["container_id"]: tokens for r in spec.collect()}
+
+
+def test_tiers_are_packed_by_themselves_and_gaps_from_shorter():
+    """A container is opened by the longest text of its tier; what follows is of that tier as long as one fits."""
+    rng = random.Random(3)
+    capacity, sep = 1000, 2
+    histogram = {s: rng.randrange(1, 5) for s in rng.sample(range(1, capacity + 1), 300)}
+    stock = packing._Stock(histogram, capacity)
+    left = dict(histogram)
+    for tier in range(packing.TIERS):
+        high, low = capacity >> tier, capacity >> tier + 1 if tier < packing.TIERS - 1 else 0
+        for inside, many in packing._pack_tier(stock, low, high, capacity, sep):
+            assert max(inside) <= high and packing.route(max(inside), capacity) == tier
+            assert sum(s * k for s, k in inside.items()) + sep * (sum(inside.values()) - 1) <= capacity
+            for s, k in inside.items():
+                left[s] -= k * many
+                assert left[s] >= 0
+            gap = capacity - sum((s + sep) * k for s, k in inside.items())
+            # no size that is left when the container is closed fits into its gap
+            assert not any(n > 0 and s <= gap for s, n in left.items()) or many > 1
+        assert not any(n for s, n in left.items() if s > low)
+    assert not any(left.values())
+
+
+@pytest.mark.parametrize("capacity", [1, 2, 5, 131_072])
+def test_planner_is_quick_at_any_capacity(capacity):
+    start = time.time()
+    p = packing.plan({s: 1 + s % 3 for s in range(1, capacity + 1)}, capacity, 1)
+    assert time.time() - start < 5
+    tokens = sum(s * (1 + s % 3) for s in range(1, capacity + 1))
+    assert capacity < 100 or tokens / (p.n_containers * capacity) > 0.99
+
+
+def test_numbers_do_not_depend_on_the_parts(spark, monkeypatch):
+    sizes = spark.createDataFrame([(i, 3 if i % 3 else i % 40) for i in range(900)], "doc_id bigint, n_tokens bigint")
+    specs = spark.createDataFrame([(1, 16, 1)], "container_id int, capacity_tokens int, separator_tokens int")
+    docs = spark.createDataFrame([], "doc_id bigint, text string")
+    one = {tuple(r) for r in packing.pack(docs, specs, sizes=sizes).collect()}
+    monkeypatch.setattr(packing, "PART_ROWS", 50)
+    assert {tuple(r) for r in packing.pack(docs, specs, sizes=sizes).collect()} == one
