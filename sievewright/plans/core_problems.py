@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,12 +65,12 @@ def p5_payments(spark: SparkSession, at: str) -> DataFrame:
 
 def p5_lines_whole(spark: SparkSession, at: str) -> DataFrame:
     """The typed table of lines with all its attributes, the tax ones too, and the variant of each line."""
-    return nested.lines(_children(spark, at)).drop("parent_kind", "parent_path")
+    return nested.lines(_children(spark, at)).drop("parent_kind", "parent_path", "subtype")
 
 
 def p5_payments_whole(spark: SparkSession, at: str) -> DataFrame:
     """The typed table of payment means with all its attributes, the code of the means too, and the variant of each."""
-    return nested.payments(nested.ubl_children(_table(spark, at, "ubl_record"))).drop("parent_kind", "parent_path")
+    return nested.payments(nested.ubl_children(_table(spark, at, "ubl_record"))).drop("parent_kind", "parent_path", "subtype")
 
 
 def p5_charges(spark: SparkSession, at: str) -> DataFrame:
@@ -81,7 +83,28 @@ def p5_variants(spark: SparkSession, at: str) -> DataFrame:
     return _children(spark, at).groupBy("origin", "child_kind", "variant").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_entries, p4_tombstones, p5_found, p5_parties, p5_lines, p5_payments, p5_lines_whole, p5_payments_whole, p5_charges, p5_variants)}
+def p5_records(spark: SparkSession, at: str) -> DataFrame:
+    """The parents of all children, with what heads an invoice."""
+    return nested.records(_table(spark, at, "invoice"), _table(spark, at, "ubl_record"))
+
+
+def p5_orphans(spark: SparkSession, at: str) -> DataFrame:
+    """Children by kind whose parent link leads nowhere; there are none."""
+    kids, top = _children(spark, at), p5_records(spark, at)
+    lines = kids.filter("child_kind = 'line'").select("origin", "record_id", F.lit("line").alias("parent_kind"), F.col("child_path").alias("parent_path"))
+    parents = top.select("origin", "record_id", F.lit("record").alias("parent_kind"), F.lit("").alias("parent_path")).unionByName(lines)
+    return kids.join(parents, ["origin", "record_id", "parent_kind", "parent_path"], "left_anti").groupBy("child_kind").agg(F.count("*").alias("n"))
+
+
+def _subtype(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, at: str) -> DataFrame:
+        return nested.subtype(_children(spark, at), name).drop("variant", "parent_kind")
+
+    query.__name__, query.__doc__ = f"p5_{name}", f"The typed table of the subtype {name}."
+    return query
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_entries, p4_tombstones, p5_found, p5_parties, p5_lines, p5_payments, p5_lines_whole, p5_payments_whole, p5_charges, p5_variants, p5_records, p5_orphans, *map(_subtype, nested.SUBTYPES))}
 
 _CHANGES = """
 WITH once AS (
@@ -163,3 +186,49 @@ UNION ALL SELECT origin, record_id, child_kind, child_path, l.id, l.description,
     + """SELECT origin, record_id, child_kind, child_path, parent_path, json_extract_string(x, '$.ChargeIndicator') AS is_charge, json_extract_string(x, '$.Amount') AS amount,
   json_extract_string(x, '$.AllowanceChargeReason') AS reason FROM ubl_kids WHERE child_kind = 'charge'""",
 }
+
+
+def _json(path: str) -> str:
+    return f"json_extract_string(x, '$.{path}')"
+
+
+def _has(*values: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif({v}, '')" for v in values) + ") IS NOT NULL"
+
+
+_DEC = "DECIMAL(20,4)"
+_U_NAME, _U_VAT = (_json("Party.PartyLegalEntity.RegistrationName"), _json("Party.PartyName.Name")), _json("Party.PartyTaxScheme.CompanyID")
+_U_QTY, _U_UNIT = (_json("InvoicedQuantity.value"), _json("CreditedQuantity.value")), (_json("InvoicedQuantity.unitCode"), _json("CreditedQuantity.unitCode"))
+_U_NET, _KEY = _json("LineExtensionAmount"), "SELECT origin, record_id, child_kind, child_path, parent_path"
+_PARTY_U = f"coalesce(nullif({_U_NAME[0]}, ''), {_U_NAME[1]}) AS name"
+_LINE_U = f"{_json('ID')} AS id, {_json('Item.Name')} AS description"
+_TAX_U = f"{_json('Item.ClassifiedTaxCategory.ID')} AS tax_category, TRY_CAST({_json('Item.ClassifiedTaxCategory.Percent')} AS {_DEC}) AS tax_percent"
+_QTY_U, _NET_U = f"TRY_CAST(coalesce({', '.join(_U_QTY)}) AS {_DEC}) AS quantity", f"TRY_CAST({_U_NET} AS {_DEC}) AS net_amount"
+_QTY_I, _NET_I, _TAX_I = f"TRY_CAST(l.quantity AS {_DEC})", f"TRY_CAST(l.net_amount AS {_DEC})", f"CAST(NULL AS VARCHAR), CAST(NULL AS {_DEC})"
+_INV = "SELECT origin, record_id, child_kind, child_path, ''"
+_PARTIES, _LINES = "FROM ubl_kids WHERE child_kind IN ('seller', 'buyer') AND ", "FROM ubl_kids WHERE child_kind = 'line' AND "
+_I_NAME, _I_VAT, _I_QTY, _I_UNIT, _I_NET = _has("p.name"), _has("p.vat_id"), _has("l.quantity"), _has("l.unit"), _has("l.net_amount")
+_PAY = {"means_code": _json("PaymentMeansCode"), "payment_id": _json("PaymentID"), "iban": _json("PayeeFinancialAccount.ID")}
+_CHARGE = f"TRY_CAST({_json('ChargeIndicator')} AS BOOLEAN) AS is_charge, TRY_CAST({_json('Amount')} AS {_DEC}) AS amount"
+
+SQL |= {
+    "p5_party_full": _KIDS + f"{_KEY}, {_PARTY_U}, {_U_VAT} AS vat_id {_PARTIES} {_has(*_U_NAME)} AND {_has(_U_VAT)} UNION ALL {_INV}, p.name, p.vat_id FROM inv_parties WHERE {_I_NAME} AND {_I_VAT}",
+    "p5_party_name_only": _KIDS + f"{_KEY}, {_PARTY_U} {_PARTIES} {_has(*_U_NAME)} AND NOT ({_has(_U_VAT)}) UNION ALL {_INV}, p.name FROM inv_parties WHERE {_I_NAME} AND NOT ({_I_VAT})",
+    "p5_party_vat_only": _KIDS + f"{_KEY}, {_U_VAT} AS vat_id {_PARTIES} NOT ({_has(*_U_NAME)}) AND {_has(_U_VAT)} UNION ALL {_INV}, p.vat_id FROM inv_parties WHERE NOT ({_I_NAME}) AND {_I_VAT}",
+    "p5_line_measured": _KIDS
+    + f"{_KEY}, {_LINE_U}, {_QTY_U}, coalesce({', '.join(_U_UNIT)}) AS unit, {_NET_U}, {_TAX_U} {_LINES} {_has(*_U_QTY)} AND {_has(*_U_UNIT)} UNION ALL {_INV}, l.id, l.description, {_QTY_I}, l.unit, {_NET_I}, {_TAX_I} FROM inv_lines WHERE {_I_QTY} AND {_I_UNIT}",
+    "p5_line_counted": _KIDS + f"{_KEY}, {_LINE_U}, {_QTY_U}, {_NET_U}, {_TAX_U} {_LINES} {_has(*_U_QTY)} AND NOT ({_has(*_U_UNIT)}) UNION ALL {_INV}, l.id, l.description, {_QTY_I}, {_NET_I}, {_TAX_I} FROM inv_lines WHERE {_I_QTY} AND NOT ({_I_UNIT})",
+    "p5_line_amount": _KIDS + f"{_KEY}, {_LINE_U}, {_NET_U}, {_TAX_U} {_LINES} NOT ({_has(*_U_QTY)}) AND {_has(_U_NET)} UNION ALL {_INV}, l.id, l.description, {_NET_I}, {_TAX_I} FROM inv_lines WHERE NOT ({_I_QTY}) AND {_I_NET}",
+    "p5_payment_account": _KIDS + f"{_KEY}, {', '.join(f'{v} AS {k}' for k, v in _PAY.items())} FROM ubl_kids WHERE child_kind = 'payment' AND {_has(_PAY['iban'])}",
+    "p5_payment_reference": _KIDS + f"{_KEY}, {_PAY['means_code']} AS means_code, {_PAY['payment_id']} AS payment_id FROM ubl_kids WHERE child_kind = 'payment' AND NOT ({_has(_PAY['iban'])}) AND {_has(_PAY['payment_id'])}",
+    "p5_payment_code": _KIDS + f"{_KEY}, {_PAY['means_code']} AS means_code FROM ubl_kids WHERE child_kind = 'payment' AND NOT ({_has(_PAY['iban'], _PAY['payment_id'])}) AND {_has(_PAY['means_code'])}",
+    "p5_charge_explained": _KIDS + f"{_KEY}, {_CHARGE}, {_json('AllowanceChargeReason')} AS reason FROM ubl_kids WHERE child_kind = 'charge' AND {_has(_json('AllowanceChargeReason'))}",
+    "p5_charge_plain": _KIDS + f"{_KEY}, {_CHARGE} FROM ubl_kids WHERE child_kind = 'charge' AND NOT ({_has(_json('AllowanceChargeReason'))}) AND {_has(_json('Amount'))}",
+    "p5_records": _KIDS
+    + f"""SELECT 'ubl_record' AS origin, raw_id AS record_id, json_extract_string(j, '$.ID') AS invoice_number, coalesce(json_extract_string(j, '$.InvoiceTypeCode'), json_extract_string(j, '$.CreditNoteTypeCode')) AS type_code,
+  TRY_CAST(json_extract_string(j, '$.IssueDate') AS DATE) AS issue_date, TRY_CAST(json_extract_string(j, '$.DueDate') AS DATE) AS due_date, json_extract_string(j, '$.DocumentCurrencyCode') AS currency,
+  TRY_CAST(json_extract_string(j, '$.LegalMonetaryTotal.TaxExclusiveAmount') AS {_DEC}) AS total_net, TRY_CAST(json_extract_string(j, '$.TaxTotal.TaxAmount') AS {_DEC}) AS total_tax,
+  TRY_CAST(json_extract_string(j, '$.LegalMonetaryTotal.TaxInclusiveAmount') AS {_DEC}) AS total_gross, TRY_CAST(json_extract_string(j, '$.LegalMonetaryTotal.PayableAmount') AS {_DEC}) AS payable_amount FROM u
+UNION ALL SELECT DISTINCT 'invoice', invoice_id, invoice_number, type_code, TRY_CAST(issue_date AS DATE), TRY_CAST(due_date AS DATE), currency, TRY_CAST(total_net AS {_DEC}), TRY_CAST(total_tax AS {_DEC}), TRY_CAST(total_gross AS {_DEC}), TRY_CAST(payable_amount AS {_DEC}) FROM invoice""",
+    "p5_orphans": "SELECT CAST(NULL AS VARCHAR) AS child_kind, CAST(NULL AS BIGINT) AS n WHERE false",
+}

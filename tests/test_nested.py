@@ -1,5 +1,8 @@
 import json
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import Row
 
 from sievewright.operators import nested
@@ -63,3 +66,48 @@ def test_whole_typed_tables_keep_tax_and_means(spark, data):
     got = {c: df.filter(f"{c} <> ''").count() for df, c in ((lines, "tax_category"), (lines, "tax_percent"), (payments, "means_code"))}
     assert got == held and any(held.values())
     assert lines.count() == core_problems.p5_lines(spark, data).count() and payments.count() == core_problems.p5_payments(spark, data).count()
+
+
+def test_a_payload_of_any_depth_is_read_whole(spark):
+    deep = '{"a":[' * 100_000 + "1" + "]}" * 100_000
+    line = f'{{"ID": "1", "Note": {deep}}}'
+    rows = [(1, f'{{"Extensions": {deep}, "InvoiceLine": [{line}, {{"ID": "2"}}], "AccountingSupplierParty": {{"Party": {{"PartyName": {{"Name": "S"}}}}}}}}'), (2, f'{{"Extensions": {deep}, "InvoiceLine": {{"ID": "1"}}'), (3, f'{{"Extensions": {deep}}} x')]
+    assert kids(spark, rows) == [(1, "line", "1"), (1, "line", "2"), (1, "seller", "")]
+
+
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(), x, max_size=4), max_leaves=30), st.integers(0, 40))
+@settings(max_examples=200, deadline=None)
+def test_deep_parser_agrees_with_the_usual_one(tree, cut):
+    text = json.dumps(tree, ensure_ascii=len(str(tree)) % 2 == 0, indent=2 if len(str(tree)) % 3 == 0 else None)
+    for t in (text, text[:-1], text[:cut], text + ",", "[" + text + ",]", text.replace(":", ",", 1)):
+        try:
+            want = json.loads(t, parse_int=nested._Number, parse_float=nested._Number)
+        except ValueError:
+            with pytest.raises(ValueError):
+                nested._parsed_deep(t)
+        else:
+            assert nested._parsed_deep(t) == want
+
+
+def test_subtypes_of_both_origins_follow_one_rule(spark):
+    party = "struct<name:string,vat_id:string>"
+    schema = f"invoice_id bigint, seller {party}, buyer {party}, lines array<struct<id:string,description:string,quantity:string,unit:string,net_amount:string>>"
+    line = lambda **k: Row(**({"id": None, "description": None, "quantity": None, "unit": None, "net_amount": None} | k))
+    typed = nested.invoice_children(spark.createDataFrame([(1, Row(name="S", vat_id="V"), Row(name="", vat_id="V"), [line(quantity="2", unit="C62"), line(quantity="x"), line(net_amount="5"), line(id="4")])], schema))
+    raw = {
+        "AccountingSupplierParty": {"Party": {"PartyName": [{"Name": "S"}], "PartyTaxScheme": {"CompanyID": "V"}}}, "AccountingCustomerParty": {"Party": {"PartyName": {"Name": ""}, "PartyTaxScheme": {"CompanyID": "V"}}},
+        "InvoiceLine": [{"InvoicedQuantity": {"value": 2, "unitCode": "C62"}}, {"InvoicedQuantity": "x"}, {"LineExtensionAmount": {"value": 5}}, {"ID": 4}], "PaymentMeans": [{"PaymentMeansCode": 58}, {"PaymentID": "p"}, {"PayeeFinancialAccount": {"ID": "i"}}, {"Odd": 1}],
+    }
+    ubl = nested.ubl_children(spark.createDataFrame([(1, json.dumps(raw))], "raw_id bigint, payload string"))
+    of = lambda df: {(r["child_kind"], r["child_path"]): r["subtype"] for r in df.collect()}
+    want = {("seller", ""): "party_full", ("buyer", ""): "party_vat_only", ("line", "1"): "line_measured", ("line", "2"): "line_counted", ("line", "3"): "line_amount", ("line", "4"): "line_other"}
+    assert of(typed) == want
+    assert of(ubl) == want | {("payment", "1"): "payment_code", ("payment", "2"): "payment_reference", ("payment", "3"): "payment_account", ("payment", "4"): "payment_other"}
+    counted = nested.subtype(ubl.unionByName(typed), "line_counted")
+    assert [r["quantity"] for r in counted.collect()] == [None, None] and dict(counted.dtypes)["quantity"] == "decimal(20,4)" and "unit" not in counted.columns
+
+
+def test_records_are_the_parents_of_all(spark, data):
+    assert core_problems.QUERIES["p5_orphans"](spark, data).count() == 0
+    top = core_problems.p5_records(spark, data)
+    assert top.count() == top.select("origin", "record_id").distinct().count()
