@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,8 +18,11 @@ PAGE, PAGE_MOST = 4000, 40000
 UNICODE_SPACE = "[\\t-\\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 # Longest file name in bytes, longest extension kept when cutting, longest sheet name.
 NAME_BYTES, EXTENSION_BYTES, SHEET_BYTES = 150, 20, 31
-# Entities that HTML in mail uses, in the order in which they are decoded.
-ENTITIES = (("&nbsp;", "\u00a0"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&euro;", "\u20ac"), ("&amp;", "&"))
+# Markup that is dropped with its content, tags that break a line, and any other tag.
+DROPPED, BREAKING, TAG = r"(?is)<(script|style|head)\b.*?</(script|style|head)>", r"(?i)<(/?(p|div|tr|li|h[1-6]|blockquote|table)|br[\t\n\f\r ]*/?)>", r"<[^>]*>"
+# character references: by number, by a name with its semicolon, or by one of the old names that need none, the longest that fits
+_OLD_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};|(?:" + "|".join(_OLD_NAMES) + "))"
 
 
 def strip_invisible(text: Column) -> Column:
@@ -89,13 +94,37 @@ def page(text: Column, offset: Column | int, limit: Column | int = 0) -> Column:
     return F.struct(F.substring(text, start + 1, size).alias("page"), n.alias("total_chars"), offset.alias("offset"), end.alias("next_offset"), (end < n).alias("has_more"))
 
 
+def _numbered(number: Column) -> Column:
+    """The character of a number as HTML reads it: what browsers show for C1 controls, U+FFFD for what is no character."""
+    c1 = F.create_map(*[F.lit(x) for i in range(0x80, 0xA0) for x in (i, bytes([i]).decode("cp1252", "ignore") or chr(i))])
+    none = (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF) | number.isNull()
+    plain = F.decode(F.unhex(F.lpad(F.hex(F.when(none, 0xFFFD).otherwise(number)), 8, "0")), "UTF-32")
+    return F.when(number.between(0x80, 0x9F), c1[number.cast("int")]).otherwise(plain)
+
+
+def unescape(text: Column) -> Column:
+    """Text with HTML's character references decoded once: all names of the standard, and numbers; unknown names stay."""
+    names = F.create_map(*[F.lit(x) for pair in html5.items() for x in pair])
+
+    def decoded(r: Column) -> Column:
+        digits = F.rtrim(F.regexp_replace(r, "^&#[xX]?", ""), F.lit(";"))
+        number = F.when(F.lower(F.substring(r, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+        # a name that is unknown as a whole may begin with one of the old ones
+        head = F.regexp_extract(r, "^&(" + "|".join(_OLD_NAMES) + ")", 1)
+        named = F.coalesce(names[F.substring(r, 2, 40)], F.when(head != "", F.concat(names[head], F.substring(r, F.length(head) + 2, F.lit(40)))), r)
+        return F.when(F.startswith(r, F.lit("&#")), _numbered(number)).otherwise(named)
+
+    between = F.split(text, _REFERENCE, -1)
+    found = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)), decoded)
+    whole = F.array_join(F.zip_with(between, found, lambda t, r: F.concat(t, F.coalesce(r, F.lit("")))), "")
+    return F.when(text.contains("&"), whole).otherwise(text)
+
+
 def html_to_text(html: Column) -> Column:
-    """Readable text of HTML: scripts, styles and heads dropped, block tags as line breaks, other tags dropped, entities decoded."""
-    t = F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</(script|style|head)>", "")
-    t = F.regexp_replace(t, r"(?i)<(/?(p|div|tr|li|h[1-6]|blockquote|table)|br[\t\n\f\r ]*/?)>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
-    for name, sign in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(sign))
+    """Readable text of HTML: scripts, styles and heads dropped, block tags as line breaks, other tags dropped, character references decoded."""
+    t = F.regexp_replace(html, DROPPED, "")
+    t = F.regexp_replace(t, BREAKING, "\n")
+    t = unescape(F.regexp_replace(t, TAG, ""))
     return trim_space(F.regexp_replace(t, "\n{3,}", "\n\n"))
 
 

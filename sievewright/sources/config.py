@@ -9,15 +9,17 @@ from urllib.parse import urlparse
 
 @dataclass(frozen=True)
 class Config:
-    """Where things lie and what is allowed."""
+    """Where things lie and what is allowed. The language ``any`` or ``*`` allows all."""
 
     root: str
     mailbox_root: str = ""
-    languages: tuple[str, ...] = ("en", "de", "ru")
+    languages: tuple[str, ...] = ("en", "de", "fr", "it", "es", "ru")
     inline_bytes: int = 5 << 20
     doc_link: str = ""
     server: str = ""
     transport: str = "tls"
+    #: Remembered verdicts on texts; empty for none.
+    verdicts: str = "verdicts.jsonl"
     screeners: tuple[str, ...] = field(default=("heuristic", "script"))
 
     @classmethod
@@ -36,7 +38,7 @@ class Config:
         if kinds[url.scheme] == "plain" and url.hostname not in ("localhost", "127.0.0.1", "::1"):
             raise ValueError("plain text is only allowed to this machine")
         root = get("ROOT", os.path.expanduser("~/sievewright"))
-        languages = tuple(x.strip() for x in get("LANGUAGES", "en,de,ru").split(",") if x.strip())
+        languages = tuple(x.strip() for x in get("LANGUAGES", "en,de,fr,it,es,ru").split(",") if x.strip())
         return cls(root=root, mailbox_root=get("MAILBOX_ROOT", os.path.join(root, "mail")), languages=languages, inline_bytes=cap << 20, doc_link=get("DOC_LINK"), server=server, transport=kinds[url.scheme])
 
     def address(self) -> str:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sievewright.functions import kinds, screening, text
 from sievewright.functions.re2 import to_java
 from sievewright.operators import invoices, memo
+from sievewright.operators import pdf as pdf_files
+from sievewright.operators.pdf import invoice_in
 from sievewright.plans.catalog import PHRASES, QUERIES
 
 
@@ -32,9 +34,9 @@ def test_patterns_as_in_re2(spark, s, rule, match):
 
 def test_script_gate(spark):
     gate = screening.script_gate(["en", "de"])
-    assert one(spark, "Rechnung 汉字汉字汉字汉字汉字汉字", gate) == ["language:foreign_script Han(12)"]
+    assert one(spark, "Rechnung 汉字汉字汉字汉字汉字汉字", gate) == ["language:foreign script outside allowlist: Han(12)"]
     assert one(spark, "Rechnung 汉字", gate) == []
-    assert one(spark, "Пожалуйста, оплатите", gate) == ["language:foreign_script Cyrillic(18)"]
+    assert one(spark, "Пожалуйста, оплатите", gate) == ["language:foreign script outside allowlist: Cyrillic(18)"]
     assert one(spark, "Пожалуйста, оплатите", screening.script_gate(["en", "de", "rus"])) == []
     for bad in (["xx"], [], [" "]):
         with pytest.raises(ValueError):
@@ -147,7 +149,7 @@ def test_safe_names_of_every_attachment(spark, tmp_path):
         ext = m[1] if (m := re.fullmatch(r"(?s).+(\.[^.]*)", n)) and len(m[1].encode()) <= 20 else ""
         return n if len(n.encode()) <= 150 else n.encode()[: 150 - len(ext.encode())].decode("utf-8", "ignore") + ext
 
-    got = {(r["msg_id"], r["att_index"]): r["safe"] for r in QUERIES["sanitize_filename_every"](spark, str(tmp_path)).collect()}
+    got = {(r["msg_id"], r["att_index"]): r["safe"] for r in QUERIES["sanitize_filename"](spark, str(tmp_path)).collect()}
     assert got == {(m, i): safe(n, i) for m, n in enumerate(names) for i in range(2)}
     assert all(len(s.encode()) <= 150 for s in got.values())
 
@@ -157,3 +159,45 @@ def test_short_windows_cover_every_text(spark, data):
     want = {(d, s, t[s : s + 400]) for d, t in texts.items() for s in range(0, len(t), 320) if s == 0 or s + 80 < len(t)}
     got = [tuple(r) for r in QUERIES["chunk_windows_400"](spark, data).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def pdf(*objects, tail=b""):
+    return b"%PDF-1.7\n" + b"".join(b"%d 0 obj %s endobj\n" % (i, o) for i, o in enumerate(objects, 1)) + tail
+
+
+def stream(data, more=b"", length=None):
+    return b"<< /Length %d %s >>\nstream\r\n" % (len(data) if length is None else length, more) + data + b"\nendstream"
+
+
+def test_files_embedded_in_pdf():
+    xml, other = b"<Invoice><ID>R1</ID></Invoice>", b"<Invoice><ID>no</ID></Invoice>"
+    found = lambda data: invoice_in(data, invoices.is_invoice)
+    spec = lambda name, no: b"<< /Type /Filespec " + name + b" /EF << /F %d 0 R /UF %d 0 R >> >>" % (no, no)
+    assert found(pdf(stream(other), spec(b"/F (a.xml)", 1), stream(zlib.compress(xml), b"/Filter /FlateDecode"), spec(b"/F (x) /UF <FEFF0066006100630074007500720020002D0078002E0078006D006C>", 3)))[0] == other.decode()
+    standard = b"/UF <" + b"\xfe\xff".hex().encode() + "Factur-X.xml".encode("utf-16-be").hex().encode() + b">"
+    assert found(pdf(stream(other), spec(b"/F (a.xml)", 1), stream(zlib.compress(xml), b"/Filter [/FlateDecode]"), spec(standard, 3))) == (xml.decode(), "Factur-X.xml")
+    assert found(pdf(stream(b"text"), spec(b"/F (liesmich.txt)", 1), stream(xml), spec(b"/F (R\\(1\\)\\056xml)", 3))) == (xml.decode(), "R(1).xml")
+    # names that decide nothing, a wrong length, a stream that isn't what its dictionary says, no object at all
+    assert found(pdf(stream(b"<a/>"), spec(b"/F (a.xml)", 1), spec(b"/F (b.xml)", 1), stream(xml, length=7))) == (xml.decode(), "pdf stream")
+    assert found(pdf(stream(xml, b"/Filter /FlateDecode"))) == (xml.decode(), "pdf stream") == found(pdf(stream(zlib.compress(xml))))
+    assert found(b"%PDF-1.4 stream\n" + xml + b"\nendstream") == (xml.decode(), "pdf stream")
+    # names within an object stream, and a dictionary of files in an object of its own
+    inner = [b"<< /F (cii.xml) /EF 12 0 R >>", b"<< /F 2 0 R >>"]
+    head = b"11 0 12 %d " % (len(inner[0]) + 1)
+    packed = zlib.compress(head + b" ".join(inner))
+    assert found(pdf(stream(packed, b"/Type /ObjStm /N 2 /First %d /Filter /FlateDecode" % len(head)), stream(xml))) == (xml.decode(), "cii.xml")
+    for nothing in (None, b"", b"%PDF", pdf(b"<< >>"), pdf(stream(b"noise"))[:40], pdf(stream(b"<Order/>"))):
+        assert found(nothing) == (None, None)
+
+
+def test_a_stream_that_inflates_without_end_is_no_invoice(monkeypatch):
+    monkeypatch.setattr(pdf_files, "MOST_BYTES", 1000)
+    assert invoice_in(pdf(stream(zlib.compress(b"<Invoice>" + b" " * 5000 + b"</Invoice>"), b"/Filter /FlateDecode")), invoices.is_invoice) == (None, None)
+
+
+def test_character_references(spark):
+    import html
+
+    texts = ["", "plain", "&auml;&Auml;&szlig; &#8364; &#x20AC; &#X20ac", "&amp;lt; &ampamp &notit; &notin; &nope; &;", "&#0; &#128; &#x110000; &#xD800; &#150;", "a & b &", "&CounterClockwiseContourIntegral;&nbsp;x&euro", "&#1234567890; &#x1234567890123456789012;", None]
+    got = [r["o"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(text.unescape(F.col("t")).alias("o")).collect()]
+    assert got == [None if t is None else html.unescape(t) for t in texts]
