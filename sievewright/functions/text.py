@@ -107,8 +107,9 @@ def unescape(text: Column) -> Column:
     names = F.create_map(*[F.lit(x) for pair in html5.items() for x in pair])
 
     def decoded(r: Column) -> Column:
-        digits = F.rtrim(F.regexp_replace(r, "^&#[xX]?", ""), F.lit(";"))
-        number = F.when(F.lower(F.substring(r, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+        digits = F.regexp_replace(r, "^&#[xX]?0*(?=.)|;$", "")
+        # longer ones are beyond all characters
+        number = F.when(F.length(digits) <= 9, F.when(F.lower(F.substring(r, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint"))
         # a name that is unknown as a whole may begin with one of the old ones
         head = F.regexp_extract(r, "^&(" + "|".join(_OLD_NAMES) + ")", 1)
         named = F.coalesce(names[F.substring(r, 2, 40)], F.when(head != "", F.concat(names[head], F.substring(r, F.length(head) + 2, F.lit(40)))), r)
