@@ -63,8 +63,13 @@ def removal(entries: DataFrame, registry: str, key: str) -> DataFrame:
     return entries.filter((F.col("registry") == registry) & (F.col("entry_key") == key)).select("registry", "entry_key", F.lit(True).alias("deleted"))
 
 
+def line_bytes(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``line_bytes``, the size of each as a JSON line."""
+    return rows.withColumn("line_bytes", F.octet_length(F.to_json(F.struct(*[F.col(c) for c in rows.columns]))))
+
+
 def fitting_lines(rows: DataFrame) -> DataFrame:
-    """Rows as JSON lines, with those over the size limit left out."""
+    """Rows as JSON lines, with those over the size limit left out; :func:`line_bytes` tells which these are."""
     return rows.select(F.to_json(F.struct(*[F.col(c) for c in rows.columns])).alias("value")).filter(F.octet_length("value") <= LINE_BYTES)
 
 

@@ -39,6 +39,12 @@ def p4_tombstones(spark: SparkSession, at: str) -> DataFrame:
     return gone.join(alive, on, "left").select(gone["registry"], gone["entry_key"], "removed_ns", F.coalesce("alive", F.lit(False)).alias("alive"))
 
 
+def journal_merge_fold(spark: SparkSession, at: str) -> DataFrame:
+    """Current entries with the parts of their source and when they were first recorded."""
+    e = changes.merged_entries(_table(spark, at, "registry_change"))
+    return e.select("registry", "entry_key", F.size("fields").cast("bigint").alias("n_fields"), "source.*", "recorded_at")
+
+
 def _children(spark: SparkSession, at: str) -> DataFrame:
     return nested.children(_table(spark, at, "invoice"), _table(spark, at, "ubl_record"))
 
@@ -104,11 +110,11 @@ def _subtype(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_entries, p4_tombstones, p5_found, p5_parties, p5_lines, p5_payments, p5_lines_whole, p5_payments_whole, p5_charges, p5_variants, p5_records, p5_orphans, *map(_subtype, nested.SUBTYPES))}
+QUERIES = {f.__name__: f for f in (journal_merge_fold, p4_found, p4_entries, p4_tombstones, p5_found, p5_parties, p5_lines, p5_payments, p5_lines_whole, p5_payments_whole, p5_charges, p5_variants, p5_records, p5_orphans, *map(_subtype, nested.SUBTYPES))}
 
 _CHANGES = """
 WITH once AS (
-  SELECT writer, seq, any_value(registry) AS registry, any_value(entry_key) AS entry_key, any_value(deleted) AS deleted,
+  SELECT writer, seq, any_value(recorded_at) AS recorded_at, any_value(source) AS source, any_value(registry) AS registry, any_value(entry_key) AS entry_key, any_value(deleted) AS deleted,
          any_value(fields) AS fields, any_value(coalesce(updated_at, recorded_at)) AS at_text
   FROM registry_change WHERE entry_key IS NOT NULL AND trim(entry_key) <> '' GROUP BY writer, seq),
 placed AS (
@@ -211,7 +217,13 @@ _I_NAME, _I_VAT, _I_QTY, _I_UNIT, _I_NET = _has("p.name"), _has("p.vat_id"), _ha
 _PAY = {"means_code": _json("PaymentMeansCode"), "payment_id": _json("PaymentID"), "iban": _json("PayeeFinancialAccount.ID")}
 _CHARGE = f"TRY_CAST({_json('ChargeIndicator')} AS BOOLEAN) AS is_charge, TRY_CAST({_json('Amount')} AS {_DEC}) AS amount"
 
+_PART = "arg_max({0}, place) FILTER (WHERE {0} IS NOT NULL AND CAST({0} AS VARCHAR) NOT IN ('', {1})) AS {2}"
 SQL |= {
+    "journal_merge_fold": _CHANGES
+    + f""", live AS (SELECT *, source.mailbox AS s1, source.uid AS s2, source.attachment_index AS s3, source.sha256 AS s4, source.saved_path AS s5 FROM kept WHERE place > gone AND deleted IS DISTINCT FROM true),
+n AS (SELECT registry, entry_key, count(*) AS n_fields FROM merged GROUP BY ALL),
+e AS (SELECT registry, entry_key, arg_min(recorded_at, place) AS recorded_at, {_PART.format("s1", "''", "mailbox")}, {_PART.format("s2", "'0'", "uid")}, {_PART.format("s3", "''", "attachment_index")}, {_PART.format("s4", "''", "sha256")}, {_PART.format("s5", "''", "saved_path")} FROM live GROUP BY registry, entry_key)
+SELECT e.registry, e.entry_key, coalesce(n.n_fields, 0) AS n_fields, e.mailbox, e.uid, e.attachment_index, e.sha256, e.saved_path, e.recorded_at FROM e LEFT JOIN n ON e.registry = n.registry AND e.entry_key = n.entry_key""",
     "p5_party_full": _KIDS + f"{_KEY}, {_PARTY_U}, {_U_VAT} AS vat_id {_PARTIES} {_has(*_U_NAME)} AND {_has(_U_VAT)} UNION ALL {_INV}, p.name, p.vat_id FROM inv_parties WHERE {_I_NAME} AND {_I_VAT}",
     "p5_party_name_only": _KIDS + f"{_KEY}, {_PARTY_U} {_PARTIES} {_has(*_U_NAME)} AND NOT ({_has(_U_VAT)}) UNION ALL {_INV}, p.name FROM inv_parties WHERE {_I_NAME} AND NOT ({_I_VAT})",
     "p5_party_vat_only": _KIDS + f"{_KEY}, {_U_VAT} AS vat_id {_PARTIES} NOT ({_has(*_U_NAME)}) AND {_has(_U_VAT)} UNION ALL {_INV}, p.vat_id FROM inv_parties WHERE NOT ({_I_NAME}) AND {_I_VAT}",

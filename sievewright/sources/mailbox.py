@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 SCHEMA = "mailbox string, uid_validity bigint, uid bigint, internal_date timestamp, flags array<string>, size_bytes bigint, raw binary"
 #: Messages that one task reads.
@@ -33,8 +33,9 @@ class _Part(InputPartition):
 def _epochs(root: str) -> Iterator[tuple[str, int, str]]:
     for mailbox in sorted(os.listdir(root)) if os.path.isdir(root) else ():
         at = os.path.join(root, mailbox)
-        for epoch in sorted(os.listdir(at)) if os.path.isdir(at) else ():
-            if epoch.isdigit() and os.path.isdir(os.path.join(at, epoch)):
+        numbers = [e for e in os.listdir(at) if e.isdigit()] if os.path.isdir(at) else []
+        for epoch in sorted(numbers, key=int):
+            if os.path.isdir(os.path.join(at, epoch)):
                 yield mailbox, int(epoch), os.path.join(at, epoch)
 
 
@@ -64,7 +65,7 @@ class _Reader(DataSourceReader):
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Take what names can answer; give the rest back to Spark."""
-        compare = {EqualTo: lambda a, b: a == b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b}
+        compare = {EqualTo: lambda a, b: a == b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b, In: lambda a, b: a in b}
         for f in filters:
             column = getattr(f, "attribute", (None,))
             if type(f) in compare and len(column) == 1 and column[0] in ("mailbox", "uid", "uid_validity"):
@@ -84,29 +85,33 @@ class _Reader(DataSourceReader):
 
 
 class _StreamReader(DataSourceStreamReader):
-    """Offsets are {mailbox: [uid_validity, last_uid]}; a new epoch is read from its first message."""
+    """Offsets are {mailbox: {uid_validity: last_uid}}: every epoch is read to its end, an older one too when a newer has begun."""
 
     def __init__(self, options: dict) -> None:
         self.root, self.raw = options["path"], options.get("raw", "true") == "true"
+        self.listed: dict[tuple[str, str], tuple[str, list[tuple[int, str, str]]]] = {}
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
-        out: dict[str, list[int]] = {}
+        out: dict[str, dict[str, int]] = {}
+        self.listed.clear()
         for mailbox, epoch, folder in _epochs(self.root):
-            uids = [u for u, _, _ in _messages(folder)]
-            out[mailbox] = [epoch, uids[-1] if uids else 0]
+            found = _messages(folder)
+            self.listed[mailbox, str(epoch)] = folder, found
+            out.setdefault(mailbox, {})[str(epoch)] = found[-1][0] if found else 0
         return out
 
     def partitions(self, start: dict, end: dict) -> list[_Part]:
+        if not self.listed:  # a batch that is run again after a restart
+            self.latestOffset()
         files = []
-        for mailbox, (epoch, last) in end.items():
-            before = start.get(mailbox, [epoch, 0])
-            since = before[1] if before[0] == epoch else 0
-            folder = os.path.join(self.root, mailbox, str(epoch))
-            if os.path.isdir(folder):
-                files += [(mailbox, epoch, u, letters, p) for u, letters, p in _messages(folder) if since < u <= last]
+        for mailbox, epochs in end.items():
+            for epoch, last in epochs.items():
+                since = start.get(mailbox, {}).get(epoch, 0)
+                folder, found = self.listed.get((mailbox, epoch), ("", []))
+                files += [(mailbox, int(epoch), u, letters, p) for u, letters, p in found if since < u <= last]
         return _split(files)
 
     def read(self, partition: _Part) -> Iterator[tuple]:

@@ -7,8 +7,10 @@ small answer is returned as plain Python.
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 import threading
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,16 +23,25 @@ from sievewright.sources.config import Config
 from sievewright.streaming import cursors
 
 
+WITHHELD = "the invoice was flagged as a possible prompt injection and is withheld; ask for the quarantined view of its attachment"
+_INVISIBLE = {ord(ch): None for ch in text.INVISIBLE}
+
+
 class Workspace:
     """Mail under ``config.mailbox_root``; journals, ledger, workbook and cursors under ``config.root``."""
 
-    def __init__(self, spark: SparkSession, config: Config, *more: screening.Screener) -> None:
+    def __init__(self, spark: SparkSession, config: Config, *more: screening.Screener, detector: Callable[[Column], Column] | None = None) -> None:
         self.spark, self.config = spark, config
         os.makedirs(config.root, exist_ok=True)
         mailbox.register(spark)
-        gates = {"heuristic": screening.heuristic, "script": screening.script_gate(config.languages)}
-        self.screen = screening.chain(*[gates[s] for s in config.screeners], *more)
-        self._lock = threading.Lock()
+        gates = {"heuristic": screening.heuristic}
+        if not {"any", "*"} & set(config.languages):
+            gates["script"] = screening.script_gate(config.languages)
+            if detector:
+                gates["language"] = lambda t: screening.language_gate(config.languages, detector(t))(t)
+        self.screen = screening.chain(*[gates[s] for s in (*config.screeners, "language") if s in gates], *more)
+        self.mark = memo.fingerprint("1", ",".join(config.languages), *config.screeners, *[getattr(m, "__qualname__", repr(m)) for m in more], getattr(detector, "__qualname__", ""))
+        self._lock, self._verdicts = threading.Lock(), threading.Lock()
 
     def _path(self, name: str) -> str:
         return os.path.join(self.config.root, name)
@@ -40,23 +51,54 @@ class Workspace:
     def messages(self, box: str, raw: bool = True) -> DataFrame:
         return self.spark.read.format("mailbox").option("raw", str(raw).lower()).load(self.config.mailbox_root).filter(F.col("mailbox") == box)
 
-    def _guarded(self, c: Column, include: bool) -> tuple[Column, Column]:
-        reasons = F.coalesce(self.screen(c), screening.none_found())
-        return screening.guard(c, reasons, include), reasons
+    def _reasons(self, texts: list[str | None]) -> list[list[str]]:
+        """The reasons against each text, remembered ones first; each other text is screened once, and its verdict remembered."""
+        key = {t: hashlib.sha256(f"{self.mark}\x00{t}".encode("utf-8", "surrogatepass")).hexdigest() for t in texts if t}
+        at = self._path(self.config.verdicts) if self.config.verdicts else ""
+        known = {"": []}
+        if at and key:
+            cache = memo.remembered(journals.verdicts(self.spark, at), "at").filter(F.col("key").isin(list(set(key.values()))))
+            known |= {r["key"]: list(r["reasons"] or []) for r in cache.collect()}
+        new = sorted({t for t in key if key[t] not in known})
+        if new:
+            found = self.spark.createDataFrame([(t,) for t in new], "t string").select("t", F.coalesce(self.screen(F.col("t")), screening.none_found()).alias("r")).collect()
+            known |= {key[r["t"]]: list(r["r"]) for r in found}
+            if at:
+                with self._verdicts:
+                    journals.append(self.spark.createDataFrame([(key[r["t"]], bool(r["r"]), list(r["r"]), _now()) for r in found], journals.VERDICT), at)
+        return [known[key.get(t, "") if t else ""] for t in texts]
+
+    def _guarded(self, texts: list[str | None], include: bool) -> tuple[list[str | None], list[str]]:
+        """(each text as it is shown, the reasons against all of them in order)."""
+        reasons = self._reasons(texts)
+        shown = [t if t is None else screening.NOTICE % ", ".join(r) if r and not include else t.translate(_INVISIBLE) for t, r in zip(texts, reasons)]
+        return shown, [x for r in reasons for x in r]
+
+    def _page(self, body: str | None, offset: int, limit: int) -> dict:
+        return self.spark.createDataFrame([(body or "",)], "t string").select(text.page(F.col("t"), offset, limit).alias("p")).first()["p"].asDict()
 
     def list_messages(self, box: str = "INBOX", limit: int | None = None, unseen_only: bool = False, since_uid: int | None = None, since_date: str | None = None, include_flagged: bool = False) -> dict:
-        """The newest messages that are found, with flagged strings redacted."""
+        """The newest messages that are found, with flagged strings redacted, file names too.
+
+        Found and counted without opening a message; only those listed are read.
+        """
         since = kinds.parse_since(since_date) if since_date else None
-        every = self.messages(box)
+        every = self.messages(box, raw=False).drop("raw")
         found = listing.selected(every, unseen_only, since_uid, since)
         n = listing.clamp(limit, listing.LIST, listing.LIST_MOST)
-        top = mime.parsed(listing.newest(found, n, since))
-        subject, r1 = self._guarded(F.col("subject"), include_flagged)
-        sender, r2 = self._guarded(F.col("message_from"), include_flagged)
-        rows = top.select("uid", "uid_validity", "internal_date", "flags", "size_bytes", sender.alias("message_from"), subject.alias("subject"), F.concat(r1, r2).alias("reasons"), F.transform("attachments", lambda a: a["filename"]).alias("attachments")).orderBy(F.desc("uid"))
-        out = [r.asDict(True) for r in rows.collect()]  # at most LIST_MOST
-        epoch = every.select("uid_validity").limit(1).collect()
-        return {"mailbox": box, "uid_validity": epoch[0][0] if epoch else None, "total_messages": every.count(), "matched": found.count(), "count": len(out), "messages": out}
+        top = listing.newest(found, n, since).select("uid", "uid_validity").collect()  # at most LIST_MOST
+        out = []
+        if top:
+            raw = self.messages(box).filter(F.col("uid").isin([r["uid"] for r in top]) & F.col("uid_validity").isin(list({r["uid_validity"] for r in top})))
+            names = F.transform("attachments", lambda a: a["filename"]).alias("attachments")
+            rows = mime.parsed(raw).select("uid", "uid_validity", "internal_date", "flags", "size_bytes", "message_from", "subject", names).collect()
+            wanted = {(r["uid"], r["uid_validity"]) for r in top}
+            out = sorted((r.asDict(True) for r in rows if (r["uid"], r["uid_validity"]) in wanted), key=lambda m: -m["uid"])
+        self._reasons([t for m in out for t in (m["subject"], m["message_from"], *m["attachments"])])  # all at once
+        for m in out:
+            (m["subject"], m["message_from"], *m["attachments"]), m["reasons"] = self._guarded([m["subject"], m["message_from"], *m["attachments"]], include_flagged)
+        epoch = every.agg(F.max("uid_validity")).first()[0]
+        return {"mailbox": box, "uid_validity": epoch, "total_messages": every.count(), "matched": found.count(), "count": len(out), "messages": out}
 
     def _one(self, box: str, uid: int) -> DataFrame:
         if uid < 1:
@@ -67,15 +109,14 @@ class Workspace:
         return mime.parsed(got)
 
     def read_message(self, uid: int, box: str = "INBOX", offset: int = 0, limit: int = 0, include_flagged: bool = False) -> dict:
-        """One message with its body page by page; each string is redacted by itself, the verdict is for all of them."""
-        m = self._one(box, uid)
-        columns = {"subject": F.col("subject"), "message_from": F.col("message_from"), "message_to": F.col("message_to"), "text_body": F.col("text_body")}
-        guarded = {k: self._guarded(c, include_flagged) for k, c in columns.items()}
-        body = text.page(guarded.pop("text_body")[0], offset, limit)
-        _, body_reasons = self._guarded(F.col("text_body"), include_flagged)
-        files = F.transform("attachments", lambda a: F.struct(a["att_index"].alias("att_index"), text.strip_invisible(a["filename"]).alias("filename"), a["content_type"].alias("content_type"), a["size_bytes"].alias("size_bytes"), a["sha256"].alias("sha256"), a["via"].alias("via")))
-        row = m.select(*[c.alias(k) for k, (c, _) in guarded.items()], "sent_at", body.alias("body"), F.concat(*[r for _, r in guarded.values()], body_reasons).alias("reasons"), files.alias("attachments")).first().asDict(True)
-        return row | {"uid": uid, "mailbox": box, "flagged": bool(row["reasons"])}
+        """One message with its body page by page; each string is redacted by itself, file names and their origin too, the verdict is for all of them."""
+        names = ("att_index", "filename", "content_type", "size_bytes", "sha256", "via")
+        files = F.transform("attachments", lambda a: F.struct(*[a[n].alias(n) for n in names])).alias("attachments")
+        m = self._one(box, uid).select("subject", "message_from", "message_to", "sent_at", "text_body", files).first().asDict(True)
+        texts = [m["subject"], m["message_from"], m["text_body"], *[f[k] for f in m["attachments"] for k in ("filename", "via")], m["message_to"]]
+        (subject, sender, body, *parts, to), reasons = self._guarded(texts, include_flagged)
+        files = [f | {"filename": parts[2 * i], "via": parts[2 * i + 1]} for i, f in enumerate(m["attachments"])]
+        return {"subject": subject, "message_from": sender, "message_to": to, "sent_at": m["sent_at"], "body": self._page(body, offset, limit), "reasons": reasons, "attachments": files, "uid": uid, "mailbox": box, "flagged": bool(reasons)}
 
     def _attachment(self, uid: int, index: int, box: str) -> dict:
         if index < 0:
@@ -92,14 +133,13 @@ class Workspace:
         data = bytes(a["data"] or b"")
         if len(data) > self.config.inline_bytes:
             raise ValueError(f"the attachment has {len(data)} bytes; at most {self.config.inline_bytes} are read inline")
-        head = {"uid": uid, "attachment_index": index, "filename": a["filename"], "content_type": a["kind"], "sha256": a["sha256"]}
-        if not (a["nested"] or a["textual"]):
+        readable = a["nested"] or a["textual"]
+        body = None if not readable else mime.parse_message(data)["text"] or "" if a["nested"] else data.decode("utf-8", "replace")
+        (name, via, body), reasons = self._guarded([a["filename"], a["via"], body], include_flagged)
+        head = {"uid": uid, "attachment_index": index, "filename": name, "via": via, "content_type": a["kind"], "sha256": a["sha256"], "reasons": reasons, "flagged": bool(reasons)}
+        if not readable:
             return head | {"uri": f"mail://{box}/{uid}/attachments/{index}", "base64": base64.b64encode(data).decode()}
-        body = mime.parse_message(data)["text"] or "" if a["nested"] else data.decode("utf-8", "replace")
-        one = self.spark.createDataFrame([(body,)], "t string")
-        guarded, reasons = self._guarded(F.col("t"), include_flagged)
-        row = one.select(text.page(guarded, offset, limit).alias("body"), reasons.alias("reasons")).first().asDict(True)
-        return head | row | {"flagged": bool(row["reasons"])}
+        return head | {"body": self._page(body, offset, limit)}
 
     def read_quarantined(self, uid: int, box: str = "INBOX", index: int | None = None, offset: int = 0, limit: int = 0) -> dict:
         """Flagged content as data: screened for the report, defused, page by page."""
@@ -126,20 +166,29 @@ class Workspace:
             at = os.path.join(folder, free)
             with open(os.open(at, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600), "wb") as f:
                 f.write(bytes(a["data"]))
-            flagged = bool(self.spark.createDataFrame([(a["filename"] or "",)], "t string").select(self.screen(F.col("t")).alias("r")).first()["r"])
+            flagged = bool(self._reasons([a["filename"]])[0])
             row = (_now(), box, uid, index, a["filename"], at, len(a["data"]), a["sha256"], a["content_type"], a["subject"], a["message_from"], str(a["sent_at"] or ""), flagged)
             saved = self.spark.createDataFrame([row], journals.SAVED)
             journals.append(saved, path)
             return saved.first().asDict() | {"duplicate": False}
 
-    def get_attached_invoice(self, uid: int, box: str = "INBOX", include_flagged: bool = False) -> list[dict]:
-        """Every invoice attached to a message; one whose prose is flagged is withheld with its file name."""
+    def get_attached_invoice(self, uid: int, box: str = "INBOX", include_flagged: bool = False, index: int | None = None) -> list[dict]:
+        """Every invoice attached to a message, or to one attachment; one whose prose is flagged is withheld with its file name and a note.
+
+        Raises if there is none, with the attachments that were tried, whose names are guarded as well.
+        """
         files = mime.attachments(self._one(box, uid), ["uid"])
-        found = invoices.of_attachments(files)
-        reasons = self.screen(invoices.screen_text(F.col("invoice"), F.col("filename"), F.col("via")))
-        bad = (F.size(reasons) > 0) & F.lit(not include_flagged)
+        files = files if index is None else files.filter(F.col("att_index") == index)
+        found = invoices.of_attachments(files).withColumn("reasons", self.screen(invoices.screen_text(F.col("invoice"), F.col("filename"), F.col("via"))))
+        bad = (F.size("reasons") > 0) & F.lit(not include_flagged)
         shown = lambda c: F.when(~bad, F.col(c))
-        return [r.asDict(True) for r in found.select("att_index", shown("filename").alias("filename"), shown("via").alias("via"), "sha256", "embedded_xml", shown("invoice").alias("invoice"), reasons.alias("reasons")).orderBy("att_index").collect()]
+        rows = found.select("att_index", text.strip_invisible(shown("filename")).alias("filename"), text.strip_invisible(shown("via")).alias("via"), "sha256", shown("embedded_xml").alias("embedded_xml"), shown("invoice").alias("invoice"), "reasons", F.when(bad, F.lit(WITHHELD)).alias("note")).orderBy("att_index").collect()
+        if not rows:
+            kind = kinds.invoice_candidate(F.col("content_type"), F.col("filename"), F.col("data"))
+            tried = files.filter(kind.isNotNull()).select("att_index", "filename").orderBy("att_index").collect()
+            (log,), _ = self._guarded(["; ".join(f"{r['att_index']}: {r['filename']}" for r in tried)], False)
+            raise LookupError(f"no invoice that can be read in message {uid}" + (f"; tried {log}" if tried else ""))
+        return [r.asDict(True) for r in rows]
 
     # Registries ---------------------------------------------------------------------------------------------
 
@@ -202,7 +251,11 @@ class Workspace:
             whole = {**((before or {}).get("source") or {}), **src} if before or src else None
             now = _now()
             row = (self._next(), registry, key, before["recorded_at"] if before else now, now if before else None, False, merged, tuple((whole or {}).get(k) for k in ("mailbox", "uid", "attachment_index", "sha256", "saved_path")) if whole else None)
-            journals.append(registries.fitting_lines(self.spark.createDataFrame([row], journals.ENTRY)).select(F.from_json("value", journals.ENTRY).alias("r")).select("r.*"), self._path("entries.jsonl"))
+            line = self.spark.createDataFrame([row], journals.ENTRY)
+            size = registries.line_bytes(line).first()["line_bytes"]
+            if size > registries.LINE_BYTES:
+                raise ValueError(f"the entry takes {size} bytes; a line of the journal has at most {registries.LINE_BYTES}")
+            journals.append(line, self._path("entries.jsonl"))
             columns = list(meta[0]["field_columns"] or [])
             fresh = sorted(k for k in clean if k not in columns)
             if fresh:
@@ -279,4 +332,4 @@ def _plain(v: object) -> str | None:
     if v is None:
         return None
     s = v if isinstance(v, str) else ("true" if v else "false") if isinstance(v, bool) else json.dumps(v, ensure_ascii=False)
-    return s.translate({ord(ch): None for ch in text.INVISIBLE})
+    return s.translate(_INVISIBLE)
