@@ -22,7 +22,8 @@ NAME_BYTES, EXTENSION_BYTES, SHEET_BYTES = 150, 20, 31
 DROPPED, BREAKING, TAG = r"(?is)<(script|style|head)\b.*?</(script|style|head)>", r"(?i)<(/?(p|div|tr|li|h[1-6]|blockquote|table)|br[\t\n\f\r ]*/?)>", r"<[^>]*>"
 # character references: by number, by a name with its semicolon, or by one of the old names that need none, the longest that fits
 _OLD_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
-_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};|(?:" + "|".join(_OLD_NAMES) + "))"
+_OFTEN = ("amp;", "nbsp;", "quot;", "lt;", "gt;", "auml;", "ouml;", "uuml;", "szlig;", "euro;", "copy;", "middot;", "ndash;", "mdash;", "eacute;", "agrave;", "apos;")
+_REFERENCE = r"^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};|(?:" + "|".join(_OLD_NAMES) + "))"
 
 
 def strip_invisible(text: Column) -> Column:
@@ -104,21 +105,28 @@ def _numbered(number: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """Text with HTML's character references decoded once: all names of the standard, and numbers; unknown names stay."""
-    names = F.create_map(*[F.lit(x) for pair in html5.items() for x in pair])
+    table = lambda of: F.create_map(*[F.lit(x) for n in of for x in (n, html5[n])])
+    # most references are by a few names; a map is searched from its beginning
+    often, names = table(_OFTEN), table(html5)
 
     def decoded(r: Column) -> Column:
-        digits = F.regexp_replace(r, "^&#[xX]?0*(?=.)|;$", "")
+        digits = F.regexp_replace(r, "^#[xX]?0*(?=.)|;$", "")
         # longer ones are beyond all characters
-        number = F.when(F.length(digits) <= 9, F.when(F.lower(F.substring(r, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint"))
+        number = F.when(F.length(digits) <= 9, F.when(F.lower(F.substring(r, 2, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint"))
         # a name that is unknown as a whole may begin with one of the old ones
-        head = F.regexp_extract(r, "^&(" + "|".join(_OLD_NAMES) + ")", 1)
-        named = F.coalesce(names[F.substring(r, 2, 40)], F.when(head != "", F.concat(names[head], F.substring(r, F.length(head) + 2, F.lit(40)))), r)
-        return F.when(F.startswith(r, F.lit("&#")), _numbered(number)).otherwise(named)
-
-    between = F.split(text, _REFERENCE, -1)
-    found = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)), decoded)
-    whole = F.array_join(F.zip_with(between, found, lambda t, r: F.concat(t, F.coalesce(r, F.lit("")))), "")
-    return F.when(text.contains("&"), whole).otherwise(text)
+        head = F.regexp_extract(r, "^(" + "|".join(_OLD_NAMES) + ")", 1)
+        named = F.coalesce(often[r], names[r], F.when(head != "", F.concat(names[head], F.substring(r, F.length(head) + 1, F.lit(40)))), F.concat(F.lit("&"), r))
+        return F.when(F.startswith(r, F.lit("#")), _numbered(number)).otherwise(named)
+
+    def whole(t: Column) -> Column:
+        pieces = F.split(t, "&", -1)
+        later = F.slice(pieces, F.lit(2), F.size(pieces))
+        found = F.transform(later, lambda p: F.regexp_extract(p, _REFERENCE, 0))
+        read = F.zip_with(later, found, lambda p, r: F.when(r == "", F.concat(F.lit("&"), p)).otherwise(F.concat(decoded(r), F.substring(p, F.length(r) + 1, F.length(p)))))
+        return F.when(t.contains("&"), F.concat(F.get(pieces, F.lit(0)), F.array_join(read, ""))).otherwise(t)
+
+    # as the variable of a function the text is made once, whatever it is made of
+    return F.get(F.transform(F.array(text), whole), F.lit(0))
 
 
 def html_to_text(html: Column) -> Column:

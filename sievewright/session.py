@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -38,3 +38,13 @@ def workers_find_package(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if here not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, here])
+
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """``df`` for a map that costs much more than a shuffle: over all cores, by its key, where it comes in fewer parts than there are cores.
+
+    A table of a few small files comes in as few parts; one that has parts enough stays as it is. The rows are the same either way.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores, *key) if parts < cores else df
