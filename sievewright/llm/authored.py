@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm.garble import STEPS
+from sievewright.session import spread
 from sievewright.staging import written
 
 #: Mails that the trees are fitted on, about, and the part of them that is also taken without its marks.
@@ -344,7 +345,8 @@ def described_mails(mails: DataFrame, share: float, key: str, body: str, sender:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(_TYPES), _TYPES)], names=[c.split()[0] for c in MAILS.split(", ")])
 
     at = F.unix_micros(F.col(sent).cast("timestamp")) if sent in mails.columns else F.lit(None).cast("bigint")
-    return mails.select(F.col(key).cast("bigint").alias("msg_id"), F.col(body).alias("body"), F.col(sender).alias("sender"), F.coalesce(at, F.lit((1 << 63) - 1)).alias("sent")).mapInArrow(cut, MAILS)
+    rows = mails.select(F.col(key).cast("bigint").alias("msg_id"), F.col(body).alias("body"), F.col(sender).alias("sender"), F.coalesce(at, F.lit((1 << 63) - 1)).alias("sent"))
+    return spread(rows, "msg_id").mapInArrow(cut, MAILS)
 
 
 def _matches(described: DataFrame) -> DataFrame:

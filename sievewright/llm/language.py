@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from sievewright.llm import garble, uniform
 from sievewright.llm.arrowtext import code_points, slices, strings
 from sievewright.llm.langdata import WORD, labelled_sentences
+from sievewright.session import spread
 
 #: A sentence has this many words at least, and the winner leads by this share of the next language's bits and by so many.
 LEAST_WORDS, LEAST_LEAD, LEAST_BITS = 3, 0.02, 6
@@ -329,7 +330,7 @@ def identify(df: DataFrame, model: Model, key: str, body: str, subject: str | No
                     segs.append(runs)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(sure, pa.float64()), pa.array(segs, pa.list_(segment))], names=["key", "lang", "confidence", "segments"])
 
-    return columns.mapInArrow(apply, f"key {kind}, {SCHEMA}").withColumnRenamed("key", key)
+    return spread(columns, "body").mapInArrow(apply, f"key {kind}, {SCHEMA}").withColumnRenamed("key", key)
 
 
 def _undisguised(column: pa.Array) -> list[str | None]:
