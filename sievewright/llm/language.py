@@ -25,8 +25,8 @@ from sievewright.llm.arrowtext import code_points, slices, strings
 from sievewright.llm.langdata import WORD, labelled_sentences
 from sievewright.session import spread
 
-#: A sentence has this many words at least, and the winner leads by this share of the next language's bits and by so many.
-LEAST_WORDS, LEAST_LEAD, LEAST_BITS = 3, 0.02, 6
+#: A sentence has this many words at least, and the winner needs so many bits, and so large a part of them, less than the next language.
+LEAST_WORDS, LEAST_BITS, LEAST_LEAD = 2, 6, 0.02
 #: Words that a worker remembers.
 REMEMBERED = 400_000
 _BITS = 28
@@ -40,6 +40,7 @@ _HEADER = re.compile(r"^\s*\*?[^\W\d_][\w .’'-]{0,24}:\*?(\s|$)")
 # what ends with the dot of an abbreviation, a company's form or "Tel." ends no sentence by it
 _END = re.compile(r"(?<!\b[Tt]el)(?<!\bSp)(?<!\s[^\W\d_](?=\.))(?<![^\W\d_]\.[^\W\d_])(?<![^\W\d_]\.[^\W\d_][^\W\d_])[.!?…][\"'“”»)\]]*$")
 _ODD = re.compile(r"[^\x00-\x7f]")
+_DIGIT, _NUMBER = re.compile(r"\d"), re.compile(r"[^\s\d]*\d\S*")
 _DISGUISED = re.compile("[\u0300-\u036f\xad\u200b-\u200f\u2000-\u200a\u202f\u2060-\u2064\u3000\ufeff\uff01-\uff5e\U0001d400-\U0001d7ff]")
 # where a passage may be cut, and what must stand up to the mark there
 _STOP = re.compile(r"[.!?…][\"'“”»)\]]*\s+")
@@ -115,9 +116,14 @@ class Model:
         return self.hands
 
 
+def words_of(sentence: str) -> list[str]:
+    """The words of a sentence in small letters, without numbers, dates and codes."""
+    return WORD.findall((_NUMBER.sub(" ", sentence) if _DIGIT.search(sentence) else sentence).lower())
+
+
 def running(sentence: str) -> str:
-    """What is parsed of a sentence: its words in small letters, one blank around each."""
-    return " ".join(["", *WORD.findall(sentence.lower()), ""])
+    """What is parsed of a sentence: its words, one blank around each."""
+    return " ".join(["", *words_of(sentence), ""])
 
 
 def fit(sentences: dict[str, list[str]]) -> Model:
@@ -234,14 +240,14 @@ class Identifier:
                 state = 0
         return paid << _BITS | state
 
-    def prices(self, sentence: str) -> list[float]:
-        """Bits of the longest known phrases into which a sentence falls, under each language."""
+    def prices(self, words: list[str]) -> list[float]:
+        """Bits of the longest known phrases into which the words of a sentence fall, under each language."""
         if len(self.words) > REMEMBERED or len(self.steps) > 4 * REMEMBERED:
             self._forget()
         place, total = 0, 0
-        get, words = self.steps.get, self.words
-        for w in WORD.findall(sentence.lower()):
-            i = words.setdefault(w, len(words))
+        get, known = self.steps.get, self.words
+        for w in words:
+            i = known.setdefault(w, len(known))
             paid, place = get(i << _BITS | place) or self._step(place, i, w)
             total += paid
         total += self._rest(place)
@@ -261,14 +267,14 @@ class Identifier:
         return got
 
     def _verdict(self, sentence: str) -> tuple[str | None, float]:
-        n_words = len(WORD.findall(sentence))
-        if n_words < LEAST_WORDS or not self.languages:
+        words = words_of(sentence)
+        if len(words) < LEAST_WORDS or not self.languages:
             return None, 0.0
-        bits = self.prices(sentence)
+        bits = self.prices(words)
         order = sorted(range(len(bits)), key=bits.__getitem__)
         best, then = bits[order[0]], bits[order[min(1, len(bits) - 1)]]
         lead = 1 - best / max(then, 1e-9)
-        sure = len(bits) == 1 or lead >= LEAST_LEAD and then - best >= LEAST_BITS
+        sure = len(bits) == 1 or then - best >= LEAST_BITS and lead >= LEAST_LEAD
         return (self.languages[order[0]] if sure else None), (1.0 if len(bits) == 1 else lead)
 
     def verdicts(self, sentences: list[str]) -> list[tuple[str | None, float]]:
