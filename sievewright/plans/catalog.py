@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievewright.functions import kinds, screening, text
+from sievewright.functions import detect, kinds, screening, text
 from sievewright.operators import changes, invoices, listing, memo, mime, registries
 from sievewright.streaming import cursors
 
@@ -192,6 +192,14 @@ def lang_allowlist(spark: SparkSession, at: str) -> DataFrame:
     return d.select("doc_id", F.array_join(screening.language_gate(["en", "de"], F.col("lang"))(F.col("text")), ", ").alias("reasons"))
 
 
+@_query()
+def language_gate_detected(spark: SparkSession, at: str) -> DataFrame:
+    """Texts in a language that isn't allowed, by a detector that learned from the labels of all texts."""
+    d = _table(spark, at, "documents")
+    found = d.select("doc_id", "text", detect.detector(detect.fit(d, "lang", "text"))(F.col("text")).alias("detected"))
+    return found.select("doc_id", "detected", F.array_join(screening.language_gate(["en", "de"], F.col("detected"))(F.col("text")), ", ").alias("reasons"))
+
+
 @_query(f"""SELECT doc_id, r1 <> '' OR foreign_n >= 10 AS flagged, concat_ws(', ', nullif(r1, ''), CASE WHEN foreign_n >= 10 THEN 'language:foreign script outside allowlist: ' || array_to_string(list_filter([CASE WHEN c > 0 THEN 'Cyrillic(' || c || ')' END, CASE WHEN h > 0 THEN 'Han(' || h || ')' END], lambda r: r IS NOT NULL), ', ') END) AS reasons
 FROM (SELECT *, c + h AS foreign_n FROM (SELECT doc_id, {_REASONS} AS r1, {_COUNT % 'Cyrillic'} AS c, {_COUNT % 'Han'} AS h FROM {_INJECTED}))""")
 def verdict_merge(spark: SparkSession, at: str) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and return a frame that reads it back.
 
-    The table outlives any executor; it is removed when the driver ends or by :func:`drop_written`.
+    The table outlives any executor; it is removed at the end of a :func:`scope`, by :func:`drop_written`, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sievewright/{label}-{uuid.uuid4().hex}"
@@ -39,9 +41,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written() -> None:
-    """Delete the tables written so far. Frames that read them must no longer be used."""
-    while _written:
+@contextmanager
+def scope() -> Iterator[None]:
+    """Within it, results are used up: the tables written there are deleted at its end, and frames that read them end with it."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        drop_written(before)
+
+
+def drop_written(keep: int = 0) -> None:
+    """Delete the tables written so far, but for the first ``keep``. Frames that read them must no longer be used."""
+    while len(_written) > keep:
         spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm

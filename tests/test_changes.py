@@ -89,3 +89,32 @@ def test_instants(spark):
     for r in out.select("i", instant_ns(out["t"]).alias("n")).collect():
         want = rows[r["i"]][1]
         assert r["n"] == (None if want is None else base + want)
+
+
+def test_tables_written_in_a_scope_go_with_it(spark, tmp_path):
+    import os
+
+    from sievewright import staging
+
+    root = staging.shared_dir(spark).removeprefix("file://") + "/sievewright"
+    outer = staging.written(spark.range(3), "outer")
+    before = set(os.listdir(root))
+    with staging.scope():
+        assert staging.written(spark.range(5), "inner").count() == 5
+        assert len(set(os.listdir(root)) - before) == 1
+    assert set(os.listdir(root)) == before and outer.count() == 3
+
+
+def test_sources_and_first_records_merge_with_the_fields(spark):
+    from sievewright.operators import changes
+
+    schema = "registry string, entry_key string, recorded_at string, updated_at string, deleted boolean, fields map<string,string>, source struct<mailbox:string,uid:bigint,attachment_index:int,sha256:string,saved_path:string>, writer string, seq bigint"
+    day = lambda n: f"2025-01-{n:02d}T00:00:00Z"
+    rows = [
+        ("r", "k", day(1), None, None, {"a": "1"}, ("box", 7, 0, "s1", None), "w", 1), ("r", "k", day(1), day(2), None, {"b": "2"}, ("", 0, None, "s2", "p"), "w", 2), ("r", "k", None, day(3), True, None, None, "w", 3),
+        ("r", "k", None, day(4), None, {"a": "9"}, (None, 8, None, None, None), "w", 4), ("r", "k", day(5), None, None, {}, ("new", None, 2, "", None), "w", 5),
+        ("r", "m", day(6), None, None, {"a": "1"}, ("box", 7, 0, "s1", None), "w", 6), ("r", "m", day(6), day(7), None, {"a": ""}, ("", 0, None, "s2", "p"), "w", 7), ("r", "n", day(8), None, None, {"a": "1"}, None, "w", 8), ("r", " ", day(8), None, None, {"a": "1"}, None, "w", 9),
+    ]
+    for order in (rows, rows[::-1] + rows):
+        got = {r["entry_key"]: (r["fields"], tuple(r["source"]), r["recorded_at"]) for r in changes.merged_entries(spark.createDataFrame(order, schema)).collect()}
+        assert got == {"k": ({"a": "9"}, ("new", 8, 2, None, None), day(5)), "m": ({"a": "1"}, ("box", 7, 0, "s2", "p"), day(6)), "n": ({"a": "1"}, (None,) * 5, day(8))}

@@ -201,3 +201,19 @@ def test_character_references(spark):
     texts = ["", "plain", "&auml;&Auml;&szlig; &#8364; &#x20AC; &#X20ac", "&amp;lt; &ampamp &notit; &notin; &nope; &;", "&#0; &#128; &#x110000; &#xD800; &#150;", "a & b &", "&CounterClockwiseContourIntegral;&nbsp;x&euro", "&#1234567890; &#x1234567890123456789012;", None]
     got = [r["o"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(text.unescape(F.col("t")).alias("o")).collect()]
     assert got == [None if t is None else html.unescape(t) for t in texts]
+
+
+def test_detector_learns_from_labels(spark, data):
+    from sievewright.functions import detect
+
+    known = detect.fit(spark.read.parquet(f"{data}/documents.parquet"), "lang", "text")
+    assert {"de", "en"} <= set(known) and all(len(w) <= detect.MOST_WORDS for w in known.values())
+    held = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang IN ('de', 'en') AND length(text) > 300")
+    got = [(r["lang"], r["x"]) for r in held.select("lang", detect.detector(known)(F.col("text")).alias("x")).collect()]
+    told = [(a, b) for a, b in got if b]
+    # about one label in fourteen is wrong
+    assert len(told) > 0.8 * len(got) and sum(a == b for a, b in told) > 0.9 * len(told)
+    for t in (None, "", "123"):
+        assert one(spark, t, detect.detector(known)) is None
+    assert one(spark, "x", detect.detector({})) is None
+    assert detect.fit(spark.createDataFrame([], "lang string, text string"), "lang", "text") == {}
