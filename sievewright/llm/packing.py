@@ -14,7 +14,7 @@ are dealt before all others of it.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,14 +37,31 @@ PARTNERS = 24
 _SHIFT = 40  # bits for the number of a text within its size
 
 
+class _Vocabulary:
+    """The bytes of a vocabulary file; tasks that follow one another in a Python worker share the encoder made of them."""
+
+    def __init__(self, raw: bytes) -> None:
+        self.raw, self.encode = raw, None
+
+    def encoder(self) -> Callable[[str], list[int]]:
+        if self.encode is None:
+            import tiktoken
+
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.raw.splitlines())}
+            self.encode = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return self.encode
+
+
 def token_sizes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens) of every text, whole; null and empty texts have 0 tokens."""
+    """(doc_id, n_tokens) of every text, whole; null and empty texts have 0 tokens.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
+    The vocabulary is read where the driver runs and sent along; executors need no file.
+    """
+    with open(vocabulary, "rb") as f:
+        shared = documents.sparkSession.sparkContext.broadcast(_Vocabulary(f.read()))
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(vocabulary, "rb"))}
-        encode = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = shared.value.encoder()
         for b in batches:
             n = [len(encode(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])

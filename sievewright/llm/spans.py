@@ -137,7 +137,8 @@ class Sketch:
     def _at(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         s = np.uint64(64 - self.bits)
         with np.errstate(over="ignore"):
-            return (h >> s).astype(np.int64), ((h * _MIX) >> s).astype(np.int64)
+            # anchors are small among hashes, so that their first bits alone would not spread
+            return (_mixed(h) >> s).astype(np.int64), (_mixed(h * _BASE) >> s).astype(np.int64)
 
     def add(self, h: np.ndarray) -> None:
         for row, at in zip(self.cells, self._at(h)):

@@ -71,3 +71,33 @@ def test_anchor_in_every_stretch():
     k, _ = spans.sizes(50)
     for i in range(2950):
         assert ((at >= i) & (at + k <= i + 50)).any()
+
+
+@pytest.mark.parametrize(("part", "block"), [(40, 64), (1, 100), (1 << 20, 48)])
+def test_parts_and_blocks_of_any_size(spark, monkeypatch, part, block):
+    monkeypatch.setattr(spans, "PART", part)
+    monkeypatch.setattr(spans, "BLOCK", block)
+    docs = corpus(5, hot=60)
+    got = {tuple(r) for r in spans.shared_spans(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5), 40).collect()}
+    assert got == brute(docs, 40)
+
+
+def test_rows_of_one_id_share_nothing_with_each_other(spark):
+    long, other = "abcdefgh" * 10, "zyxwvuts" * 10
+    rows = [(1, "1" + long), (1, long + "2"), (1, long + "2"), (2, other), (3, other + "3")] * 2
+    got = {tuple(r) for r in spans.shared_spans(spark.createDataFrame(rows, "doc_id bigint, text string"), 40).collect()}
+    assert got == {(2, 0, 80), (3, 0, 80)}
+
+
+def test_the_sketch_filters_as_well_however_much_there_is(spark):
+    """A block's cells grow with its anchors, so that as few single windows pass in a large table as in a small one."""
+    passing = []
+    for n in (1_000, 30_000, 1_000_000):
+        h = np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64)
+        s = spans.Sketch(max(10, (spans.CELLS * n).bit_length()))
+        s.add(h)
+        passing.append(spans.repeated(s.packed(), s.bits, h).mean())
+    assert max(passing) < 0.06
+    rng = random.Random(4)
+    docs = [(i, "".join(rng.choices("abcdefghij ", k=500))) for i in range(300)] + [(900, "x" * 500)]
+    assert spans.repeated_places(spark.createDataFrame(docs, "doc_id bigint, text string"), 60).count() == 0
