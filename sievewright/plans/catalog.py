@@ -36,7 +36,12 @@ def _table(spark: SparkSession, at: str, name: str) -> DataFrame:
 
 def _mail(spark: SparkSession, at: str) -> DataFrame:
     """Listings, each message once."""
-    return _table(spark, at, "mail_summary").dropDuplicates(["mailbox", "uid"])
+    return _found(spark, at)
+
+
+def _found(spark: SparkSession, at: str, **filters: object) -> DataFrame:
+    """What a listing finds, each message once; repeated rows are unchanged, so that the filters come first and reach the scan."""
+    return listing.selected(_table(spark, at, "mail_summary"), **filters).dropDuplicates(["mailbox", "uid"])
 
 
 _MAIL = "(SELECT DISTINCT ON (mailbox, uid) * FROM mail_summary)"
@@ -81,20 +86,20 @@ def list_newest(spark: SparkSession, at: str) -> DataFrame:
 FROM {_MAIL} WHERE NOT coalesce(list_contains(flags, '\Seen'), false)) WHERE rn <= {_K}""")
 def list_unseen(spark: SparkSession, at: str) -> DataFrame:
     """The newest unseen messages of every mailbox."""
-    return listing.newest(listing.selected(_mail(spark, at), unseen_only=True), _K, by="mailbox").select("mailbox", "uid", F.array_join("flags", ",").alias("flags"))
+    return listing.newest(_found(spark, at, unseen_only=True), _K, by="mailbox").select("mailbox", "uid", F.array_join("flags", ",").alias("flags"))
 
 
 @_query(f"SELECT mailbox, uid, size_bytes FROM (SELECT *, row_number() OVER (PARTITION BY mailbox ORDER BY uid DESC) AS rn FROM {_MAIL} WHERE uid > 1200) WHERE rn <= 100")
 def list_since_uid(spark: SparkSession, at: str) -> DataFrame:
     """Messages beyond a UID."""
-    return listing.newest(listing.selected(_mail(spark, at), since_uid=1200), 100, by="mailbox").select("mailbox", "uid", "size_bytes")
+    return listing.newest(_found(spark, at, since_uid=1200), 100, by="mailbox").select("mailbox", "uid", "size_bytes")
 
 
 @_query(f"""SELECT mailbox, uid, internal_date FROM (SELECT *, row_number() OVER (PARTITION BY mailbox ORDER BY uid DESC) AS rn
 FROM {_MAIL} WHERE CAST(internal_date AS DATE) >= DATE '2025-06-01') WHERE rn <= 100 AND (internal_date IS NULL OR internal_date > {_SINCE_SQL})""")
 def list_since_date(spark: SparkSession, at: str) -> DataFrame:
     """Messages received after a moment: found by day, cut exactly after the limit."""
-    return listing.newest(listing.selected(_mail(spark, at), since=_SINCE), 100, _SINCE, by="mailbox").select("mailbox", "uid", "internal_date")
+    return listing.newest(_found(spark, at, since=_SINCE), 100, _SINCE, by="mailbox").select("mailbox", "uid", "internal_date")
 
 
 @_query(f"""WITH m AS {_MAIL}, f AS (SELECT *, row_number() OVER (PARTITION BY mailbox ORDER BY uid DESC) AS rn FROM m WHERE CAST(internal_date AS DATE) >= DATE '2025-06-01')
@@ -103,7 +108,7 @@ SELECT m.mailbox, count(*) AS total_messages, (SELECT count(*) FROM f WHERE f.ma
 def list_counts(spark: SparkSession, at: str) -> DataFrame:
     """Messages in a mailbox, found before the limit, and listed after it."""
     m = _mail(spark, at)
-    found = listing.selected(m, since=_SINCE)
+    found = _found(spark, at, since=_SINCE)
     return listing.counts(m, found, listing.newest(found, 100, _SINCE, by="mailbox"))
 
 

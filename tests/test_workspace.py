@@ -295,3 +295,32 @@ def test_a_stream_screens_a_text_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "cache")).count() == 2
     out = spark.read.parquet(str(tmp_path / "out")).orderBy("batch", "i").collect()
     assert [r["flagged"] for r in out] == [False, True, False, None] * 2
+
+
+def test_tools_take_and_give_json(ws):
+    import json
+
+    from sievewright import tools
+
+    assert len(tools.TOOLS) == 14
+    ask = lambda tool, args=None: (lambda text, wrong: (text if wrong else json.loads(text), wrong))(*tools.call(ws, tool, args))
+    got, wrong = ask("list_messages", {"limit": 2.9, "unseen_only": "yes", "since_uid": True, "mailbox": "", "odd": 1})
+    assert not wrong and got["count"] == 2 and got["mailbox"] == "INBOX" and got["matched"] == 4
+    got, _ = ask("read_message", '{"uid": 1, "body_limit": 10}')
+    assert got["body"]["page"] == "Guten Tag," and got["sent_at"] == "2026-08-10T08:00:00Z"
+    assert ask("get_attached_erechnung", {"uid": 4})[0][0]["invoice"]["invoice_number"] == "40023900"
+    assert ask("add_registry", {"registry": "r", "description": "d", "fields": '[{"name": "a"}]'})[0]["columns"] == ["a"]
+    got, _ = ask("record_entry", {"registry": "r", "key": "k", "fields": '{"a": 1.5, "b": ""}', "uid": 4, "saved_path": "/x/y.pdf"})
+    assert got["action"] == "insert" and ask("list_entries", {"registry": "r"})[0][0]["source"]["uid"] == 4
+    assert ask("registries")[0][0]["n_entries"] == 1 and ask("remove_entry", {"registry": "r", "key": "k"}) == (True, False)
+    assert ask("set_cursor", {"last_uid": 3, "uid_validity": 7})[0]["last_uid"] == 3 and ask("get_cursor")[0]["exists"]
+    for tool, args in (("none", {}), ("read_message", {}), ("read_message", {"uid": "1"}), ("read_message", {"uid": 0}), ("list_messages", "[1]"), ("list_messages", "{"), ("list_messages", {"since_date": "soon"}), ("drop_registry", {"registry": "nope"})):
+        assert ask(tool, args)[1], (tool, args)
+
+
+def test_typed_arguments():
+    from sievewright.tools import typed
+
+    assert [typed(v, int) for v in (1, 2.7, -2.7, True, "3", None, float("nan"), 1e300)] == [1, 2, -2, None, None, None, None, None]
+    assert [typed(v, str) for v in ("a", "", 1)] == ["a", None, None] and [typed(v, bool) for v in (True, False, 1, "true")] == [True, False, None, None]
+    assert typed('{"a": 1}', dict) == {"a": 1} and typed("[1", list) is None and typed("{}", list) is None and typed([], list) == []
