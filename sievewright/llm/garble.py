@@ -59,6 +59,7 @@ ALPHABETS = {"de": "äöüß", "en": "", "fr": "àâæçéèêëîïôœùûüÿ
 LONE_SIGNS = "–—’‘“”„€…"
 # the look behind keeps a long run of ASCII letters from being tried from each of them
 TOKEN = re.compile(r"(?:(?<![A-Za-z'])[A-Za-z']++)?[^\x00-\x7f][A-Za-z'\x80-\U0010ffff]*")
+_TOKENS = re.compile(f"({TOKEN.pattern})")
 #: Beyond doubt: the replacement character, and C1 controls, which no encoding in use has for text.
 CERTAIN = re.compile("[�\x80-\x84\x86-\x9f]")
 _LOST_HYPHEN, _LOST_SPACE = re.compile("Ã(?=[a-z])"), re.compile("[ÃÂ]$")
@@ -261,10 +262,15 @@ class Mender:
 
     def _undone(self, text: str) -> Iterator[tuple[Step, int, str]]:
         """(step, its cost, the text before it) for every step that some token of a text speaks for."""
-        spoken_for = {i for t in set(TOKEN.findall(text)) for i in self.candidates(t)}
+        pieces = _TOKENS.split(text)  # every other piece is a token
+        own = set(pieces[1::2])
+        spoken_for = {i for t in own for i in self.candidates(t)}
         for i in sorted(spoken_for, key=lambda i: (self.steps[i].cost, i)):
             step = self.steps[i]
-            new = TOKEN.sub(lambda m, i=i: self._mended(m.group(), i), text)
+            was = {t: self._mended(t, i) for t in own}
+            pieces[1::2], tokens = map(was.__getitem__, pieces[1::2]), pieces[1::2]
+            new = "".join(pieces)
+            pieces[1::2] = tokens
             cost = step.cost
             if step.right != "utf-8":
                 # a letter for a letter: the old text reads as words as well, so each kind of exchange must earn its keep
