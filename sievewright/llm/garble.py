@@ -357,7 +357,7 @@ def restore(df: DataFrame, column: str, model: Model, result: str = "restored",
             out = [(None, None) if t is None else mender.mend(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in out], pa.string()), pa.array([c for _, c in out], pa.string())], names=[*kept, result, chain])
 
-    return spread(df.select(*kept), column).mapInArrow(apply, schema)
+    return spread(df.select(*kept)).mapInArrow(apply, schema)
 
 
 def fit_on(documents: DataFrame) -> Model:

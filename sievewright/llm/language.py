@@ -336,7 +336,7 @@ def identify(df: DataFrame, model: Model, key: str, body: str, subject: str | No
                     segs.append(runs)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(sure, pa.float64()), pa.array(segs, pa.list_(segment))], names=["key", "lang", "confidence", "segments"])
 
-    return spread(columns, "body").mapInArrow(apply, f"key {kind}, {SCHEMA}").withColumnRenamed("key", key)
+    return spread(columns).mapInArrow(apply, f"key {kind}, {SCHEMA}").withColumnRenamed("key", key)
 
 
 def _undisguised(column: pa.Array) -> list[str | None]:
